@@ -15,7 +15,7 @@ import unicodedata
 FILLERS_TEXT = """
 гуай овогтой овогт ийн ын хувь иргэн шилжүүлэг мистер ноён хатагтай г-н господин
 mr mrs ms dr herr frau owogtoi
-ххк хк тбб төхк компани компания банк салбар ооо оао зао ао тоо нүтбб
+ххк хк тбб төхк компани компания банк салбар нүтбб
 xxk xk tbb llc ltd limited corp corporation co company inc jsc ngo plc gmbh ag
 guai guay ovogtoi ovogt irgen shiljuuleg khuvi huvi kompani
 """
@@ -51,6 +51,9 @@ def unmix(token: str) -> str:
 def fold(token: str) -> str:
     """One spelling for all transliterations: rounded vowels are one letter, doubled letters single."""
     t = unmix(token).lower()
+    pet = re.fullmatch(r"(..+)(?:хай|khai|(?<![szc])hai)", t)
+    if pet:  # the stem's last letter and the ending are no digraph
+        return fold(pet[1]) + "hai"
     if _CYR.search(t):
         t = _GENITIVE.sub("", t)
         t = "".join(CYRILLIC.get(c, c) for c in t)
@@ -71,8 +74,18 @@ EPITHETS = {fold(x) for x in EPITHETS_TEXT.split()}
 PETS = tuple(sorted({fold(x) for x in PET_ENDINGS_TEXT.split()}, key=len, reverse=True))
 
 
+def token(raw: str) -> str:
+    """The folded word, with "=" and the word itself where it is Cyrillic."""
+    t = _GENITIVE.sub("", unmix(raw).lower())
+    return f"{fold(raw)}={t}" if _CYR.search(t) else fold(raw)
+
+
+def folded(t: str) -> str:
+    return t.partition("=")[0]
+
+
 def tokens(text: str | None) -> list[str]:
-    """Folded content tokens in order; [] for null or blank text."""
+    """Content tokens in order, see token(); [] for null or blank text."""
     if not text:
         return []
     out = []
@@ -81,8 +94,8 @@ def tokens(text: str | None) -> list[str]:
         if len(parts) > 1 and min(map(len, parts)) < 4:
             parts = [raw]  # mixed case inside a word, not two words written together
         for part in parts:
-            t = fold(part)
-            if t and t not in FILLERS:
+            t = token(part)
+            if folded(t) and folded(t) not in FILLERS:
                 out.append(t)
     return out
 
@@ -104,30 +117,51 @@ def lcs_ratio(a: str, b: str) -> float:
     return 2 * (len(a) - v.bit_count()) / (len(a) + len(b))
 
 
-SIMILAR = 0.83
+SIMILAR = 0.74  # least ratio of two spellings of a word; one error is then checked exactly
 
 
-def same_token(a: str, b: str) -> bool:
-    """The same word up to about one typing error."""
+def one_error(a: str, b: str) -> bool:
+    """At most one letter inserted, left out, replaced or exchanged with the next."""
     if a == b:
         return True
-    if min(len(a), len(b)) < 4 or abs(len(a) - len(b)) > 1:
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1:
         return False
-    ratio = lcs_ratio(a, b)
-    return ratio >= SIMILAR or (ratio >= 0.79 and min(len(a), len(b)) <= 6)
+    i = 0
+    while i < len(a) and a[i] == b[i]:
+        i += 1
+    if len(a) < len(b):
+        return a[i:] == b[i + 1 :]
+    return a[i + 1 :] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
+
+
+def same_token(a: str, b: str) -> bool:
+    """The same word up to one typing error; words of one script by their own letters,
+    others by their folded ones."""
+    if a == b:
+        return True
+    fa, _, ra = a.partition("=")
+    fb, _, rb = b.partition("=")
+    if ra and rb:
+        return min(len(ra), len(rb)) >= 3 and max(len(ra), len(rb)) >= 4 and lcs_ratio(ra, rb) >= SIMILAR and one_error(ra, rb)
+    if fa == fb:
+        return True
+    return min(len(fa), len(fb)) >= 5 and lcs_ratio(fa, fb) >= SIMILAR and one_error(fa, fb)
 
 
 def is_pet(short: str, full: str) -> bool:
-    """short is a pet form of full: its first letters and a pet ending."""
+    """short is a pet form of full: its first letters and a pet ending (folded words)."""
     for end in PETS:
         stem = short[: -len(end)]
-        if short.endswith(end) and len(stem) >= 2 and full.startswith(stem) and len(full) > len(stem):
+        if short.endswith(end) and len(stem) >= 2 and full.startswith(stem):
             return True
     return False
 
 
 def shortens(short: str, full: str) -> bool:
     """short is an initial, a cut form or a pet form of full."""
+    short, full = folded(short), folded(full)
     if len(short) >= len(full) + 2:
         return False
     return (len(short) < len(full) and full.startswith(short)) or is_pet(short, full)
@@ -142,19 +176,18 @@ def parse(text: str | None) -> tuple[str, str, str] | None:
     ts = tokens(text)
     if not ts:
         return None
-    nick = [t for t in ts if t in EPITHETS]
-    if nick and len(ts) > len(nick):
-        rest = [t for t in ts if t not in EPITHETS]
+    rest = [t for t in ts if folded(t) not in EPITHETS]
+    if rest and len(rest) < len(ts):
         if len(rest) == 1:
             return "N", rest[0], ""
         ts = rest
     if len(ts) > 2:
-        full = [t for t in ts if len(t) > 1]
+        full = [t for t in ts if len(folded(t)) > 1]
         ts = full if len(full) >= 2 else ts
     if len(ts) == 1:
         return "N", ts[0], ""
     if len(ts) > 2:
-        ts = sorted(ts, key=len, reverse=True)[:2] if not any(len(t) > 3 for t in ts[2:]) else [ts[0], "".join(ts[1:])]
+        ts = sorted(ts, key=lambda t: (-len(folded(t)), t))[:2]
     a, b = sorted(ts)
     return "F", a, b
 
@@ -167,7 +200,7 @@ def alias_parts(aliases: str | None, full_name: str | None) -> list[str]:
         pieces = [p for p in re.split(r"[,/]", part) if tokens(p)]
         if len(pieces) == 2 and all(len(tokens(p)) == 1 for p in pieces):
             x, y = (tokens(p)[0] for p in pieces)
-            pet = any(is_pet(t, o) for t in (x, y) for o in own)
+            pet = any(is_pet(folded(t), folded(o)) for t in (x, y) for o in own)
             if not pet and any(same_token(t, o) for t in (x, y) for o in own):
                 pieces = [part]
         out += pieces
@@ -197,8 +230,8 @@ def same_name(a: tuple[str, str], b: tuple[str, str]) -> int:
         s, t = same_token(a[0], x), same_token(a[1], y)
         if s and t:
             return 2
-        if s and len(a[0]) >= 5 and (shortens(a[1], y) or shortens(y, a[1])):
+        if s and len(folded(a[0])) >= 5 and (shortens(a[1], y) or shortens(y, a[1])):
             best = 1
-        elif t and len(a[1]) >= 5 and (shortens(a[0], x) or shortens(x, a[0])):
+        elif t and len(folded(a[1])) >= 5 and (shortens(a[0], x) or shortens(x, a[0])):
             best = 1
     return best
