@@ -2,8 +2,10 @@
 
 Multinomial naive Bayes over hashed character n-grams.  It is trained here, on the corpus
 itself: first on the delivered labels (missing and wrong ones are noise), then on its own
-answers of the round before.  Counts are taken over all segments, added up per hash bucket,
-and only the matrix of languages x BUCKETS (a fixed size) is broadcast.
+answers of the round before.  A language written in two scripts has a distribution for each,
+and a segment is compared with those of its own script, so that a rare script of a language
+isn't outweighed by its usual one.  Counts are taken over all segments, added up per hash
+bucket, and only the matrix of scripts x languages x BUCKETS (a fixed size) is broadcast.
 """
 
 from __future__ import annotations
@@ -17,13 +19,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moneytrail.llm.names import unmix
 from moneytrail.plans.session import table
 
 LANGS = ["de", "en", "kk", "mn", "ru", "zh"]
+SCRIPTS = 3  # Latin, Cyrillic, Chinese
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 16
 ROUNDS = 2  # trainings on the model's own answers
 SMOOTHING = 0.05
+SHRINKAGE = 0.1  # of all grams of a script, as pseudo-counts of each of its languages
+PRIOR_WEIGHT = 30
 SLICE = 400_000  # characters that are scored at once
 
 # Codes and names under which labels state one of the languages.
@@ -37,6 +43,7 @@ NO_LANGUAGE = {"", "und", "unk", "unknown", "xx", "mul", "zxx", "mis", "none", "
 
 _LINES = re.compile("\r\n|[\n\r\x0b\x0c\x85  ]")
 _DIGITS = re.compile(r"\d+")
+_LATIN, _CYRILLIC, _CHINESE = (re.compile(x) for x in ("[a-zà-ÿ]", "[Ѐ-ӿ]", "[㐀-鿿]"))
 
 
 def stated(label: str | None) -> str | None:
@@ -54,9 +61,16 @@ def segments(text: str | None) -> list[str]:
 
 def prepared(segment: str) -> str:
     t = unicodedata.normalize("NFKC", segment).lower()
+    if _CYRILLIC.search(t) and _LATIN.search(t):
+        t = " ".join(map(unmix, t.split()))
     return " " + " ".join(_DIGITS.sub("0", t).split()) + " "
 
 
+def script(t: str) -> int:
+    latin, cyrillic, chinese = (len(x.findall(t)) for x in (_LATIN, _CYRILLIC, _CHINESE))
+    return 2 if 5 * chinese > latin + cyrillic else int(4 * cyrillic > latin)
+
+
 def gram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, position of its text) of every character n-gram inside each text."""
     sizes = np.array([len(t) for t in texts])
@@ -89,27 +103,39 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
         begin = stop
 
 
-def score(texts: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the best language and its probability for each text.
+def score(texts: list[str], scripts: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the best language and its probability for each prepared text.
 
-    The grams of a text overlap, so their evidence counts once for each character and is
-    damped by its square root: confidences stay below 1 for short texts."""
-    best, sure = [], []
-    for _, part in _slices(texts):
-        bucket, owner = gram_buckets(part)
-        total = np.stack([np.bincount(owner, weights=w[bucket], minlength=len(part)) for w in weights], axis=1)
-        n = np.maximum(np.bincount(owner, minlength=len(part)), 1)
-        p = total / np.sqrt(n)[:, None] / len(ORDERS)
-        p = np.exp(p - p.max(axis=1, keepdims=True))
-        best.append(total.argmax(axis=1))
-        sure.append(p.max(axis=1) / p.sum(axis=1))
-    return (np.concatenate(best), np.concatenate(sure)) if best else (np.array([], int), np.array([]))
+    The grams of a text overlap, so their evidence is divided by the number of orders and
+    damped by the square root of its length: confidences stay below 1 for short texts."""
+    best, sure = np.zeros(len(texts), int), np.zeros(len(texts))
+    for kind in range(SCRIPTS):
+        rows = np.flatnonzero(scripts == kind)
+        for begin, part in _slices([texts[r] for r in rows]):
+            bucket, owner = gram_buckets(part)
+            total = np.stack([np.bincount(owner, weights=w[bucket], minlength=len(part)) for w in weights[kind]], axis=1) + weights[kind][:, -1]
+            n = np.maximum(np.bincount(owner, minlength=len(part)), 1)
+            p = total / np.sqrt(n)[:, None] / len(ORDERS)
+            p = np.exp(p - p.max(axis=1, keepdims=True))
+            at = rows[begin : begin + len(part)]
+            best[at] = total.argmax(axis=1)
+            sure[at] = p.max(axis=1) / p.sum(axis=1)
+    return best, sure
 
 
 def log_weights(counts: np.ndarray) -> np.ndarray:
-    """Log probabilities of the buckets by language, with equal priors."""
-    c = counts + SMOOTHING
-    return np.log(c / c.sum(axis=1, keepdims=True))
+    """Log probabilities of the buckets by script and language; in the last place the log prior.
+
+    A language's counts are shrunk towards those of its script as a whole: one that has only a
+    few mislabelled segments in a script then looks like the script's average there and is
+    outweighed by the prior of the languages really written in it."""
+    script_counts = counts.sum(axis=1, keepdims=True) + SMOOTHING
+    total = script_counts.sum(axis=-1, keepdims=True)
+    mass = SHRINKAGE * total
+    own = counts.sum(axis=-1, keepdims=True)
+    w = np.log((counts + mass * script_counts / total) / (own + mass))
+    prior = np.log((own + 1) / (total + len(LANGS)))
+    return np.concatenate([w, PRIOR_WEIGHT * prior], axis=-1)
 
 
 def train(docs: DataFrame) -> np.ndarray:
@@ -120,7 +146,7 @@ def train(docs: DataFrame) -> np.ndarray:
         shared = spark.sparkContext.broadcast(None if weights is None else weights.astype(np.float32))
 
         def count(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            counts = np.zeros((len(LANGS), BUCKETS))
+            counts = np.zeros(SCRIPTS * len(LANGS) * BUCKETS)
             for b in batches:
                 texts, labels = [], []
                 for text, lang in zip(b.text, b.lang):
@@ -132,20 +158,22 @@ def train(docs: DataFrame) -> np.ndarray:
                         labels.append(LANGS.index(state) if shared.value is None else -1)
                 for begin, part in _slices(texts):
                     which = np.array(labels[begin : begin + len(part)])
+                    kinds = np.array([script(t) for t in part])
                     if shared.value is not None:
-                        which = score(part, shared.value)[0]
+                        which = score(part, kinds, shared.value)[0]
                     bucket, owner = gram_buckets(part)
-                    counts += np.bincount(which[owner] * BUCKETS + bucket, minlength=counts.size).reshape(counts.shape)
-            lang, bucket = np.nonzero(counts)
-            yield pd.DataFrame({"cell": lang * BUCKETS + bucket, "n": counts[lang, bucket]})
+                    cell = (kinds * len(LANGS) + which)[owner] * BUCKETS + bucket
+                    counts += np.bincount(cell, minlength=counts.size)
+            cell = np.flatnonzero(counts)
+            yield pd.DataFrame({"cell": cell, "n": counts[cell]})
 
         cells = docs.select("text", "lang").where("text is not null").mapInPandas(count, "cell long, n double")
-        got = cells.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most LANGS x BUCKETS rows
-        counts = np.zeros(len(LANGS) * BUCKETS)
+        got = cells.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most SCRIPTS x LANGS x BUCKETS rows
+        counts = np.zeros(SCRIPTS * len(LANGS) * BUCKETS)
         counts[got.cell.to_numpy(int)] = got.n
+        weights = log_weights(counts.reshape(SCRIPTS, len(LANGS), BUCKETS))
         if not counts.any():
-            return log_weights(counts.reshape(len(LANGS), BUCKETS))
-        weights = log_weights(counts.reshape(len(LANGS), BUCKETS))
+            break
     return weights
 
 
@@ -165,7 +193,7 @@ def identify(docs: DataFrame) -> DataFrame:
                 for no, s in enumerate(segments(text), 1):
                     texts.append(prepared(s))
                     where.append((k, no))
-            best, sure = score(texts, shared.value)
+            best, sure = score(texts, np.array([script(t) for t in texts], int), shared.value)
             k = np.array([w[0] for w in where], int)
             lang = np.array(LANGS, object)[best] if len(best) else np.array([], object)
             state = np.array([stated(x) for x in b.lang], object)
