@@ -28,7 +28,7 @@ ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 16
 ROUNDS = 2  # trainings on the model's own answers
 SMOOTHING = 0.05
-SHRINKAGE = 0.1  # of all grams of a script, as pseudo-counts of each of its languages
+SHRINKAGE = 0.3  # of all grams of a script, as pseudo-counts of each of its languages
 PRIOR_WEIGHT = 30
 SLICE = 400_000  # characters that are scored at once
 
