@@ -1,4 +1,127 @@
-"""All queries of the core and their SQL."""
+"""All queries of the core, over whole tables, and their SQL (in plans.oracle)."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from moneytrail.operators import casework as cw
+from moneytrail.operators import ledger as lg
+from moneytrail.operators import network as nw
+from moneytrail.operators import rules as rl
+from moneytrail.operators.normalise_times import p3_found
+from moneytrail.operators.parse_failures import p5_found, p5_rows
+from moneytrail.operators.schema_drift import p2_found, p2_unified
+from moneytrail.plans.oracle import ORACLE_SQL  # noqa: F401
+from moneytrail.plans.session import table
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_unified, p3_found, p5_found, p5_rows)}
+
+
+class Tables:
+    """The tables of a directory, read when used."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._at = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        spark, sf_dir = self._at
+        if name == "ledger":
+            return lg.ledger(spark, sf_dir)
+        return table(spark, sf_dir, name)
+
+
+def query(name: str) -> Callable:
+    def add(f: Callable[[Tables], DataFrame]) -> Callable:
+        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        return f
+
+    return add
+
+
+for _f in (
+    lg.account_statistics, lg.hourly_distribution, lg.weekday_distribution, lg.top_recipients, lg.category_breakdown, lg.channel_breakdown,
+    lg.monthly_trend, lg.benford_test, lg.benford_observed, lg.account_analysis, rl.rule_scores, rl.rule_features, rl.pattern_rapid,
+    rl.pattern_round_trip, rl.pattern_smurfing, rl.drill_down, nw.relations, nw.relations_by_account, nw.account_activity, nw.account_profile,
+    nw.counterparty_rating, nw.network_flow, cw.totals_by_type,
+):
+    query(_f.__name__)(lambda t, f=_f: f(t.ledger))
+for _name, _f in rl.RULES.items():
+    query(_name)(lambda t, f=_f: f(t.ledger))
+
+query("pattern_burst")(lambda t: rl.pattern_burst(t.call_records))
+query("top_alerts")(lambda t: rl.top_alerts(t.ledger, t.call_records))
+query("direct_transfers")(lambda t: nw.direct_transfers(t.ledger, t.bank_accounts))
+query("two_sided_ledger")(lambda t: nw.two_sided_ledger(t.ledger, t.bank_accounts))
+query("timeline_correlation")(lambda t: nw.timeline_correlation(t.ledger, t.call_records, t.bank_accounts))
+query("travel_correlation")(lambda t: nw.travel_correlation(t.ledger, t.call_records, t.bank_accounts))
+query("dwell_zones")(lambda t: nw.dwell_zones(nw.located_events(t.ledger, t.call_records)))
+query("grid_density")(lambda t: nw.grid_density(nw.located_events(t.ledger, t.call_records)))
+query("located_events")(lambda t: nw.located_events(t.ledger, t.call_records).groupBy("kind", "location").agg(F.count("*").alias("n")))
+query("suspect_locations")(lambda t: nw.suspect_locations(t.suspects))
+query("links_financial")(lambda t: nw.financial_links(t.ledger, t.bank_accounts, t.suspects))
+query("links_shared_address")(lambda t: nw.shared_key_links(t.suspects, F.col("address")))
+query("links_shared_phone")(lambda t: nw.shared_key_links(t.suspects, nw.phone8("primaryPhone")))
+query("links_phone")(lambda t: nw.phone_links(t.call_records, t.suspects))
+query("association_matrix")(lambda t: nw.association_matrix(nw.financial_links(t.ledger, t.bank_accounts, t.suspects)))
+query("chart_entities")(lambda t: nw.chart_entities(t.suspects))
+query("entity_components")(lambda t: nw.entity_components(t.suspects))
+query("people")(lambda t: nw.people(t.suspects, t.bank_accounts))
+query("dashboard")(lambda t: cw.dashboard(t.ledger, t.suspects, t.call_records, t.bank_accounts))
+query("record_stats")(lambda t: cw.record_stats(t.ledger, t.bank_accounts, t.suspects))
+query("suspect_holdings")(lambda t: cw.suspect_holdings(t.suspects, t.bank_accounts))
+query("screening")(lambda t: cw.screening(t.suspects, t.sanctions_entries))
+query("reference_dedup")(lambda t: cw.reference_dedup(t.ledger).groupBy("acct").agg(F.count("*").alias("n"), F.sum("id").alias("ids")))
+query("access_dedup")(lambda t: cw.access_dedup(t.events.select(F.col("event_id").alias("id"), F.to_date("ts").alias("ts"), F.col("user_id").alias("user"), F.col("event_type").alias("address"))).select("id", "user", "address", "copies"))
+query("scan_distinct_callers")(lambda t: t.call_records.where("callerNumber is not null").select("callerNumber").distinct())
+query("scan_page")(lambda t: cw.paged(t.ledger.where("acct = 1"), 3, 50).select("id", "acct", "amt"))
+query("scan_neighbours")(lambda t: cw.neighbours(t.ledger, 1, "2024-01-01 00:00:00", 60 * 24 * 14).select("id", "amt"))
+query("scan_suspect_calls")(lambda t: t.call_records.join(t.suspects.where("riskLevel = 'CRITICAL'").select(F.col("id").alias("suspectId")), "suspectId", "left_semi").groupBy("suspectId").agg(F.count("*").alias("n")))
+
+
+@query("noise_filter")
+def _noise(t: Tables) -> DataFrame:
+    pairs = t.ledger.where("flagStatus = 'REVIEW'").select("acct", "cp").where("cp is not null").distinct()
+    kept = cw.noise_filter(t.ledger, 5000, [("starts", "ATM"), ("includes", "төлбөр")], pairs)
+    return kept.groupBy("acct").agg(F.count("*").alias("n"), lg.total().alias("total"))
+
+
+@query("case_scope")
+def _scope(t: Tables) -> DataFrame:
+    return cw.case_scope(t.ledger, t.suspects, t.bank_accounts, ["CASE-1", "CASE-7", "CASE-48"]).groupBy("acct").agg(F.count("*").alias("n"), lg.total().alias("total"))
+
+
+@query("purge_plan")
+def _purge(t: Tables) -> DataFrame:
+    return cw.purge_plan(t.ledger, t.suspects, t.bank_accounts, "CASE-7")
+
+
+@query("bag_dedup")
+def _bag(t: Tables) -> DataFrame:
+    """The second half of the years against the first, on amount, type, account and day of month."""
+    l = t.ledger.withColumn("day", F.dayofmonth("ts").cast("long")).withColumn("whole", F.floor(F.col("amt") / 1000).cast("long"))
+    new, old = l.where(F.year("ts") >= 2024), l.where(F.year("ts") < 2024)
+    return cw.bag_except(new, old, ["acct", "type", "day", "whole"]).groupBy("acct").agg(F.count("*").alias("n"))
+
+
+@query("merge_renumber")
+def _merge(t: Tables) -> DataFrame:
+    e = t.suspects.where("caseId is not null").select(F.col("caseId"), F.col("id").alias("exhibit"), F.col("id"))
+    return cw.merge_renumber(e, "CASE-7")
+
+
+@query("delete_account")
+def _delete(t: Tables) -> DataFrame:
+    links = t.ledger.where("cp is not null").groupBy(F.col("cp").alias("id")).agg(F.collect_list("id").alias("txns"))
+    return cw.delete_account(t.ledger, links, 1)[1].select("id", F.size("txns").cast("long").alias("n"))
+
+
+@query("audit_verify")
+def _audit(t: Tables) -> DataFrame:
+    """A chain per account over its flagged transactions, one entry of every tenth chain altered afterwards."""
+    e = t.ledger.where("flagStatus <> 'NORMAL'").select(F.col("acct").alias("chain"), "id", lg.stamp("ts").alias("at"), F.col("channel").alias("actor"), F.col("flagStatus").alias("action"), F.col("cp").alias("target"), F.col("description").alias("detail"))
+    c = cw.audit_chain(e)
+    return cw.audit_verify(c.withColumn("p", F.when(F.col("chain") % 10 == 0, F.concat("p", F.lit("!"))).otherwise(F.col("p"))))
