@@ -76,12 +76,12 @@ def account_statistics(l: DataFrame) -> DataFrame:
     peak = lambda d, name: d.groupBy("acct").agg(F.max_by("b", F.struct("n", -F.col("b"))).cast("long").alias(name))
     credit, debit = total(F.when(is_credit(), F.col("amount"))), total(F.when(~is_credit(), F.col("amount")))
     s = l.groupBy("acct").agg(
-        F.count("*").alias("n"), total().alias("total"), F.round(F.median("amt"), 2).alias("median"), F.max("amt").alias("max_amount"), F.min("amt").alias("min_amount"),
+        F.count("*").alias("n"), total().alias("total"), F.round(F.median("amt"), 4).alias("median"), F.max("amt").alias("max_amount"), F.min("amt").alias("min_amount"),
         F.round(F.coalesce(F.stddev_samp("amt"), F.lit(0.0)), 2).alias("std_dev"), credit.alias("credits"), debit.alias("debits"),
         F.count_if(is_credit()).alias("credit_count"), F.count_if(~is_credit()).alias("debit_count"),
     )
     return (
-        s.withColumn("average", F.round(F.col("total") / F.col("n"), 2))
+        s.withColumn("average", F.col("total") / F.col("n"))
         .withColumn("debit_credit_ratio", F.when(F.col("credits") > 0, F.round(F.col("debits") / F.col("credits"), 6)).otherwise(0.0))
         .withColumn("net_flow", F.round(F.col("credits") - F.col("debits"), 2))
         .join(peak(hours, "peak_hour"), "acct")

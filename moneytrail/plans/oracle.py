@@ -88,9 +88,9 @@ DEDUP = "(select * from l where ref is null union all select * exclude (rn) from
 
 ORACLE_SQL = {
     "account_statistics": f"""with {L}, h as (select acct, b, count(*) as n from (select acct, hour(ts) as b from l) group by all), d as (select acct, b, count(*) as n from (select acct, dayofweek(ts) as b from l) group by all),
-      s as (select acct, count(*) as n, sum(amount)::double as total, round(median(amt), 2) as median, max(amt) as max_amount, min(amt) as min_amount, round(coalesce(stddev_samp(amt), 0), 2) as std_dev,
+      s as (select acct, count(*) as n, sum(amount)::double as total, round(median(amt), 4) as median, max(amt) as max_amount, min(amt) as min_amount, round(coalesce(stddev_samp(amt), 0), 2) as std_dev,
         coalesce({C}, 0)::double as credits, coalesce({D}, 0)::double as debits, count(*) filter (type = 'credit') as credit_count, count(*) filter (type <> 'credit') as debit_count from l group by acct)
-      select s.*, round(total / n, 2) as average, case when credits > 0 then round(debits / credits, 6) else 0.0 end::double as debit_credit_ratio, round(credits - debits, 2) as net_flow, peak_hour, peak_day
+      select s.*, total / n as average, case when credits > 0 then round(debits / credits, 6) else 0.0 end::double as debit_credit_ratio, round(credits - debits, 2) as net_flow, peak_hour, peak_day
       from s join (select acct, arg_max(b, (n, -b))::bigint as peak_hour from h group by acct) using (acct) join (select acct, arg_max(b, (n, -b))::bigint as peak_day from d group by acct) using (acct)""",
     "hourly_distribution": f"with {L} select r.range as hour, count(l.id) as n from range(24) r left join l on hour(l.ts) = r.range group by 1",
     "weekday_distribution": f"with {L} select r.range as weekday, count(l.id) as n from range(7) r left join l on dayofweek(l.ts) = r.range group by 1",
@@ -183,4 +183,10 @@ ORACLE_SQL = {
     "entity_components": f"""with recursive k as (select id, 'n' || lower(trim(regexp_replace(coalesce(fullName, ''), '\\s+', ' ', 'g'))) as key from suspects union all select id, 'i' || trim(nationalId) from suspects where trim(nationalId) <> ''
       union all select id, 'p' || k from (select id, {phone8('primaryPhone')} as k from suspects) where k is not null),
       e as (select distinct x.id as a, y.id as b from k x join k y using (key)), r(id, root) as (select id, id from suspects union select e.b, r.root from r join e on e.a = r.id) select id, min(root) as person from r group by id""",
+    "entity_counts": f"with {L} select acct as id, count(*) as n, 'account' as kind from l group by acct union all select suspectId, count(*), 'suspect' from call_records where suspectId is not null group by suspectId",
+    "scalar_functions": f"""with {L} select id, ({DIGIT})::bigint as digit, hour(ts) as hour, dayofweek(ts) as weekday, week(ts) as week, isoyear(ts) as week_year, '₮ ' || format('{{:,}}', round(amount, 0)::bigint) as money, {NORM.format('cp_name')} as name,
+      {NEAR} as near, {ROUND} as is_round, {OFF} as off, hour(ts) between 0 and 6 as night, dayofweek(ts) in (0, 6) as weekend, case when type = 'credit' then amt else -amt end as signed, upper(sha256(coalesce(description, ''))) as sha, {CL.format('cp_name')} as cleaned from l""",
+    "export_transactions": f"""with {L} select coalesce(accountNumber, '') as account, coalesce(fullName, '') as owner, count(*) as n, sum(amount)::double as total from l left join bank_accounts a on a.id = acct left join suspects s on s.id = a.suspectId group by 1, 2""",
+    "stream_daily_flows": f"""with {L} select acct, strftime(ts, '%Y-%m-%d') as day, coalesce({C}, 0)::double as inflow, coalesce({D}, 0)::double as outflow, count(*) as n,
+      coalesce({C} > 10000000 and {D}::double > {C}::double * 0.9::double, false) as mule from l group by 1, 2""",
 }

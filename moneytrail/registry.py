@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moneytrail.functions import scalars as sc
 from moneytrail.operators import casework as cw
+from moneytrail.operators import imports as im
 from moneytrail.operators import ledger as lg
 from moneytrail.operators import network as nw
 from moneytrail.operators import rules as rl
@@ -16,6 +18,8 @@ from moneytrail.operators.parse_failures import p5_found, p5_rows
 from moneytrail.operators.schema_drift import p2_found, p2_unified
 from moneytrail.plans.oracle import ORACLE_SQL  # noqa: F401
 from moneytrail.plans.session import table
+from moneytrail.sources.sinks import export_sheets
+from moneytrail.streaming.windows import daily_flows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_unified, p3_found, p5_found, p5_rows)}
@@ -125,3 +129,61 @@ def _audit(t: Tables) -> DataFrame:
     e = t.ledger.where("flagStatus <> 'NORMAL'").select(F.col("acct").alias("chain"), "id", lg.stamp("ts").alias("at"), F.col("channel").alias("actor"), F.col("flagStatus").alias("action"), F.col("cp").alias("target"), F.col("description").alias("detail"))
     c = cw.audit_chain(e)
     return cw.audit_verify(c.withColumn("p", F.when(F.col("chain") % 10 == 0, F.concat("p", F.lit("!"))).otherwise(F.col("p"))))
+
+
+@query("entity_counts")
+def _counts(t: Tables) -> DataFrame:
+    a = t.ledger.groupBy(F.col("acct").alias("id")).agg(F.count("*").alias("n")).withColumn("kind", F.lit("account"))
+    c = t.call_records.where("suspectId is not null").groupBy(F.col("suspectId").alias("id")).agg(F.count("*").alias("n")).withColumn("kind", F.lit("suspect"))
+    return a.unionByName(c)
+
+
+@query("fraud_workflow")
+def _workflow(t: Tables) -> DataFrame:
+    """Analysis, rules and digit test of every account in one job."""
+    a = lg.account_analysis(t.ledger).select("acct", "n", "overall", F.col("risk").alias("analysis_risk"), "verdict")
+    r = rl.rule_scores(t.ledger).select("acct", "final_score", "action", "risk")
+    b = lg.benford_test(t.ledger).select("acct", "chi_square", "passes")
+    names = t.bank_accounts.select(F.col("id").alias("acct"), F.concat_ws(" - ", F.coalesce("bankName", F.lit("Банк")), "accountNumber").alias("name"))
+    return a.join(r, "acct").join(b, "acct", "left").join(names, "acct", "left")
+
+
+@query("scalar_functions")
+def _scalars(t: Tables) -> DataFrame:
+    return t.ledger.select(
+        "id", lg.leading_digit().cast("long").alias("digit"), F.hour("ts").cast("long").alias("hour"), (F.dayofweek("ts") - 1).cast("long").alias("weekday"), F.weekofyear("ts").cast("long").alias("week"),
+        F.expr("extract(yearofweek from ts)").cast("long").alias("week_year"), sc.money(F.col("amount")).alias("money"), nw.norm_name(F.col("cp_name")).alias("name"), lg.near_threshold().alias("near"),
+        lg.round_number().alias("is_round"), lg.off_hours().alias("off"), lg.night_hour().alias("night"), lg.weekend().alias("weekend"), F.when(lg.is_credit(), F.col("amt")).otherwise(-F.col("amt")).alias("signed"),
+        F.upper(F.sha2(F.coalesce("description", F.lit("")), 256)).alias("sha"), nw.cleaned("cp_name").alias("cleaned"),
+    )
+
+
+@query("import_summary")
+def _import(t: Tables) -> DataFrame:
+    """Bank files: rows imported, skipped and duplicate, a field's text read with the importer's rules."""
+    bank = t.import_files.join(t.import_profiles.where("domain = 'BANK'").select("profileId"), "profileId", "left_semi")
+    from moneytrail.operators.schema_drift import unified
+
+    return im.summary(im.import_bank(unified(bank, t.import_profiles)))
+
+
+@query("import_calls")
+def _import_calls(t: Tables) -> DataFrame:
+    from moneytrail.operators.schema_drift import unified
+
+    cdr = t.import_files.join(t.import_profiles.where("domain = 'CDR'").select("profileId"), "profileId", "left_semi")
+    return im.import_calls(unified(cdr, t.import_profiles), as_of_us=1_767_225_600_000_000)
+
+
+@query("import_access")
+def _import_access(t: Tables) -> DataFrame:
+    from moneytrail.operators.schema_drift import unified
+
+    log = t.import_files.join(t.import_profiles.where("domain = 'ACCESS_LOG'").select("profileId"), "profileId", "left_semi")
+    return im.import_access(unified(log, t.import_profiles))
+
+
+query("export_transactions")(
+    lambda t: export_sheets(t.ledger, t.suspects, t.bank_accounts, t.call_records, t.suspects.limit(0))["Transactions"].groupBy("account", "owner").agg(F.count("*").alias("n"), lg.total().alias("total"))
+)
+query("stream_daily_flows")(lambda t: daily_flows(t.ledger).select("acct", F.date_format("day", "yyyy-MM-dd").alias("day"), F.coalesce("inflow", F.lit(0.0)).alias("inflow"), F.coalesce("outflow", F.lit(0.0)).alias("outflow"), "n", "mule"))
