@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from moneytrail.plans.session import table, tasks_for
 
 ROWS_PER_TASK = 150_000  # rows of both sides that one co-group holds, on average
+HOT = 1_000_000  # left rows of one entity and range from which they are cut into parts
+HOT_RANGES = 100_000  # most such ranges that are sent to the executors
 WINDOW_S = 6 * 3600  # length of a time range; records near its ends are also put in the next one
 
 
@@ -57,7 +59,9 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance_s: int) -> Data
     Both sides are cut into ranges of WINDOW_S per entity; a right row also goes into the
     neighbouring range where that lies within the tolerance, so each left row meets all its
     candidates in its own range.  Ranges are hashed over co-groups of bounded size: an entity
-    with a third of all rows spreads over as many tasks as its time span has ranges.  Rows
+    with a third of all rows spreads over as many tasks as its time span has ranges.  Of right
+    rows at one instant only the least id is kept; a range with more than HOT left rows is cut
+    into parts, each with the range's right rows.  Rows
     without entity or time match nothing; repeated rows count as rows; empty tables give no
     pairs; further columns are ignored.
     """
@@ -68,9 +72,20 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance_s: int) -> Data
     spans = F.expr(f"array_distinct(array(us div {window_us}, (us - {tolerance_us}) div {window_us}, (us + {tolerance_us}) div {window_us}))")
     lt = left.where("entity is not null and us is not null").select("id", "entity", "us", F.expr(f"us div {window_us}").alias("span"))
     rt = right.where("entity is not null and us is not null").select("id", "entity", "us", F.explode(spans).alias("span"))
+    rt = rt.groupBy("entity", "us", "span").agg(F.min("id").alias("id"))
     parts = tasks_for(left.count() + right.count(), ROWS_PER_TASK, spark)
-    cell = F.pmod(F.xxhash64("entity", "span"), F.lit(parts)).cast("int").alias("cell")
-    lt, rt = lt.select("*", cell), rt.select("*", cell)
+    hot = lt.groupBy("entity", "span").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
+    hot = hot.select("entity", "span", F.ceil(F.col("n") / HOT).cast("int").alias("k")).limit(HOT_RANGES + 1).collect()
+    if len(hot) > HOT_RANGES:
+        raise ValueError("too many hot ranges: shorten WINDOW_S")
+    if hot:  # a few rows: at most one for each HOT rows of the input
+        cuts = F.broadcast(spark.createDataFrame([tuple(r) for r in hot], "entity long, span long, k int"))
+        lt = lt.join(cuts, ["entity", "span"], "left").withColumn("part", F.expr("cast(pmod(xxhash64(id), coalesce(k, 1)) as int)"))
+        rt = rt.join(cuts, ["entity", "span"], "left").withColumn("part", F.explode(F.expr("sequence(0, coalesce(k, 1) - 1)")))
+    else:
+        lt, rt = lt.withColumn("part", F.lit(0)), rt.withColumn("part", F.lit(0))
+    cell = F.pmod(F.xxhash64("entity", "span", "part"), F.lit(parts)).cast("int").alias("cell")
+    lt, rt = (x.select("id", "entity", "us", "span", cell) for x in (lt, rt))
     return (
         lt.groupBy("cell")
         .cogroup(rt.groupBy("cell"))
