@@ -115,32 +115,38 @@ def walk_bands(symbols: np.ndarray, starts: np.ndarray, window: int, seed: int =
     return out
 
 
+def may_hold(doc: np.ndarray, item_sorted: np.ndarray, least: int, errors_per: int = ERRORS_PER) -> bool:
+    """False only if no run of `least` item symbols fits into doc.
+
+    Some `least` successive symbols of a run have at most e = (2 least - 1) // errors_per errors,
+    so a stretch of least + e document symbols holds least - e symbols of the item."""
+    e = (2 * least - 1) // errors_per
+    at = np.minimum(np.searchsorted(item_sorted, doc), len(item_sorted) - 1)
+    seen = np.concatenate([[0], np.cumsum(item_sorted[at] == doc)])
+    span = min(least + e, len(doc))
+    return bool((seen[span:] - seen[: len(seen) - span]).max() >= least - e)
+
+
 def longest_run(doc: np.ndarray, item: np.ndarray, gap: int, errors_per: int = ERRORS_PER) -> int:
     """Item symbols in the longest run that doc shares with item: common blocks chained over at
     most `gap` changed, added or left-out symbols, at most one error in errors_per symbols."""
-    common = np.intersect1d(doc, item)
-    if not len(common):
+    # all pairs of equal symbols, ordered along diagonals; blocks are their unbroken stretches
+    order = np.argsort(item, kind="stable")
+    ranked = item[order]
+    lo, hi = np.searchsorted(ranked, doc, "left"), np.searchsorted(ranked, doc, "right")
+    n = hi - lo
+    if not n.any():
         return 0
-    where: dict[int, list[int]] = {}
-    for j, s in enumerate(item.tolist()):
-        where.setdefault(s, []).append(j)
-    # maximal blocks on diagonals
-    open_: dict[int, int] = {}
-    blocks: list[tuple[int, int, int]] = []
-    prev: dict[int, int] = {}
-    for i, s in enumerate(doc.tolist()):
-        cur = {}
-        for j in where.get(s, ()):
-            cur[j] = prev.get(j - 1, 0) + 1
-        for j, n in prev.items():
-            if j + 1 not in cur:
-                blocks.append((i - n, j - n + 1, n))
-        prev = cur
-    n_doc = len(doc)
-    blocks += [(n_doc - n, j - n + 1, n) for j, n in prev.items()]
-    blocks = [b for b in blocks if b[2] >= 2]
-    del open_
-    blocks.sort()
+    i = np.repeat(np.arange(len(doc)), n)
+    j = order[np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+    wide = len(doc) + 1
+    key = np.sort((j - i + len(doc)) * wide + i)
+    cut = np.flatnonzero(np.concatenate([[True], np.diff(key) != 1, [True]]))
+    length = np.diff(cut)
+    first = key[cut[:-1]]
+    keep_ = length >= 2
+    start = first[keep_] % wide
+    blocks = sorted(zip(start.tolist(), (first[keep_] // wide - len(doc) + start).tolist(), length[keep_].tolist()))
     best = 0
     states: list[list[tuple[int, int]]] = []  # per block: (item start, errors) of chains that end in it
     ends: dict[int, list[int]] = {}
@@ -171,6 +177,7 @@ class Probe:
 
     kinds: dict[int, str]
     symbols: dict[int, np.ndarray]
+    ordered: dict[int, np.ndarray]
     hashes: dict[str, list[np.ndarray]]
     owners: dict[str, list[np.ndarray]]
 
@@ -193,7 +200,7 @@ def build_probe(items: list[tuple[int, str]]) -> Probe:
             order = np.argsort(h, kind="stable")
             hashes[kind].append(h[order])
             owners[kind].append(o[order])
-    return Probe(kinds, symbols, hashes, owners)
+    return Probe(kinds, symbols, {k: np.unique(s) for k, s in symbols.items()}, hashes, owners)
 
 
 def _candidates(probe: Probe, kind: str, texts: list[np.ndarray]) -> set[tuple[int, int]]:
@@ -238,7 +245,7 @@ def find_in(texts: list[str | None], probe: Probe) -> list[tuple[int, int]]:
                 total += len(seqs[stop])
                 stop += 1
             for k, item in _candidates(probe, kind, seqs[begin:stop]):
-                if longest_run(seqs[begin + k], probe.symbols[item], GAP[kind]) >= least:
+                if may_hold(seqs[begin + k], probe.ordered[item], least) and longest_run(seqs[begin + k], probe.symbols[item], GAP[kind]) >= least:
                     found.append((begin + k, item))
             begin = stop
     return found
