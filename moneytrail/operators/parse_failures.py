@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moneytrail.functions.text import similarity, skeleton, undecorated
-from moneytrail.plans.session import table
+from moneytrail.plans.session import spread, table
 from moneytrail.sources import delimited
 
 DATES = {"date", "datetime", "timestamp"}
@@ -115,7 +115,7 @@ def parse_files(files: DataFrame, profiles: DataFrame) -> DataFrame:
             rows = [(i, no, why, f, raw) for i, c, p in zip(b.fileId, b.content, b.profileId) for no, why, f, raw in classify(c, p, fields)]
             yield pd.DataFrame(rows, columns=["fileid", "lineno", "reason", "fields", "raw"])
 
-    return files.select("fileId", "content", "profileId").mapInPandas(run, "fileid long, lineno long, reason string, fields array<string>, raw string")
+    return spread(files.select("fileId", "content", "profileId")).mapInPandas(run, "fileid long, lineno long, reason string, fields array<string>, raw string")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

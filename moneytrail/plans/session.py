@@ -76,6 +76,13 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan in at least as many tasks as there are cores: a table of one small file would else
+    keep one core busy.  Larger tables have more splits than that and aren't shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def tasks_for(rows: int, per_task: int, spark: SparkSession) -> int:
     """Partitions so that each holds about per_task rows, at least the shuffle partitions."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
