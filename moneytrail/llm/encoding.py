@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from moneytrail.plans.session import local_path, table
+from moneytrail.plans.session import local_path, spread, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the splitting pattern of the public vocabulary.
@@ -118,7 +118,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str
         for b in batches:
             yield pd.DataFrame({"doc_id": b.doc_id, "ids": [encode(t) for t in b.text]})
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, ids array<int>")
+    return spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).mapInPandas(run, "doc_id long, ids array<int>")
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

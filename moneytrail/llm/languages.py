@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moneytrail.llm.names import unmix
-from moneytrail.plans.session import table
+from moneytrail.plans.session import spread, table
 
 LANGS = ["de", "en", "kk", "mn", "ru", "zh"]
 SCRIPTS = 3  # Latin, Cyrillic, Chinese
@@ -142,6 +142,7 @@ def train(docs: DataFrame) -> np.ndarray:
     """The matrix of log probabilities, from all segments of docs (text, lang)."""
     spark = docs.sparkSession
     weights = None
+    texts = spread(docs.select("text", "lang").where("text is not null"))
     for _ in range(1 + ROUNDS):
         shared = spark.sparkContext.broadcast(None if weights is None else weights.astype(np.float32))
 
@@ -167,7 +168,7 @@ def train(docs: DataFrame) -> np.ndarray:
             cell = np.flatnonzero(counts)
             yield pd.DataFrame({"cell": cell, "n": counts[cell]})
 
-        cells = docs.select("text", "lang").where("text is not null").mapInPandas(count, "cell long, n double")
+        cells = texts.mapInPandas(count, "cell long, n double")
         got = cells.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most SCRIPTS x LANGS x BUCKETS rows
         counts = np.zeros(SCRIPTS * len(LANGS) * BUCKETS)
         counts[got.cell.to_numpy(int)] = got.n
@@ -203,7 +204,7 @@ def identify(docs: DataFrame) -> DataFrame:
                 {"doc_id": b.doc_id.to_numpy()[k], "segment_no": np.array([w[1] for w in where], "int64"), "lang": lang, "confidence": sure.astype("float64"), "label_ok": ok[k]}
             )
 
-    return docs.where("text is not null").select("doc_id", "text", "lang").mapInPandas(run, "doc_id long, segment_no long, lang string, confidence double, label_ok boolean")
+    return spread(docs.where("text is not null").select("doc_id", "text", "lang")).mapInPandas(run, "doc_id long, segment_no long, lang string, confidence double, label_ok boolean")
 
 
 def p10_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moneytrail.llm.names import fold
-from moneytrail.plans.session import table
+from moneytrail.plans.session import spread, table
 
 WORDS, CHARS = 20, 30  # least run of successive words, of characters of Chinese
 WINDOW = {"w": 14, "c": 20}  # windows shorter than the least run, so that some hold few changes
@@ -269,6 +269,7 @@ def leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
         blocks[-1].append((item, passage))
         size += len(passage)
     result = None
+    texts = spread(docs.where("text is not null and doc_id is not null").select("doc_id", "text"))
     for block in blocks:
         shared = spark.sparkContext.broadcast(build_probe(block))
 
@@ -278,7 +279,7 @@ def leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
                 found = find_in(list(b.text), shared.value)
                 yield pd.DataFrame({"doc_id": [ids[k] for k, _ in found], "itemid": [i for _, i in found]}, dtype="int64")
 
-        part = docs.where("text is not null and doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, itemid long")
+        part = texts.mapInPandas(run, "doc_id long, itemid long")
         result = part if result is None else result.unionByName(part)
     return result.distinct()
 
