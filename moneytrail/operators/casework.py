@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,13 +122,25 @@ def neighbours(l: DataFrame, account: int, around: str, minutes: int) -> DataFra
 
 
 def audit_chain(events: DataFrame) -> DataFrame:
-    """Chained hashes of events (id, at, actor, action, target, detail): each covers the one before.
-
-    Built in order by a fold over one chain; chains (chain) are independent and spread over tasks."""
-    payload = F.concat_ws("|", F.coalesce("at", F.lit("")), F.coalesce("actor", F.lit("")), F.coalesce("action", F.lit("")), F.coalesce("target", F.lit("")), F.coalesce("detail", F.lit("")))
-    g = events.select("chain", "id", payload.alias("p")).groupBy("chain").agg(F.array_sort(F.collect_list(F.struct("id", "p"))).alias("a"))
-    fold = "aggregate(a, named_struct('h', '', 'o', cast(array() as array<struct<id:bigint,p:string,hash:string>>)), (s, x) -> named_struct('h', upper(sha2(concat(s.h, '|', x.p), 256)), 'o', concat(s.o, array(named_struct('id', x.id, 'p', x.p, 'hash', upper(sha2(concat(s.h, '|', x.p), 256)))))))"
-    return g.select("chain", F.explode(F.expr(fold + ".o")).alias("x")).select("chain", "x.id", "x.p", "x.hash")
+    """Chained hashes of events (chain, id, at, actor, action, target, detail): each covers the one before.
+
+    Appending is serial by nature: a chain is read in order by one task, which keeps only the last
+    hash; chains are independent and spread over tasks."""
+    payload = F.concat_ws("|", *(F.coalesce(F.col(c), F.lit("")) for c in ("at", "actor", "action", "target", "detail")))
+
+    def chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chain, last = None, ""
+        for b in batches:
+            out = []
+            for c, p in zip(b.chain, b.p):
+                if c != chain:
+                    chain, last = c, ""
+                last = hashlib.sha256(f"{last}|{p}".encode()).hexdigest().upper()
+                out.append(last)
+            yield b.assign(hash=out)
+
+    ordered = events.select(F.col("chain").cast("long").alias("chain"), F.col("id").cast("long").alias("id"), payload.alias("p")).repartition("chain").sortWithinPartitions("chain", "id")
+    return ordered.mapInPandas(chained, "chain long, id long, p string, hash string")
 
 
 def audit_verify(chained: DataFrame) -> DataFrame:

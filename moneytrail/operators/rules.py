@@ -163,17 +163,18 @@ def pattern_smurfing(l: DataFrame, cfg: AmlConfig = MNT) -> DataFrame:
 def pattern_burst(calls: DataFrame, cfg: AmlConfig = MNT) -> DataFrame:
     """Five calls of a number within half an hour; the window starts anew after a hit; three per number.
 
-    The fold runs over a caller's calls in order; a caller's calls are bounded by its own history
-    (two longs a call), and callers spread over tasks."""
-    span = int(cfg.burst_minutes * 60_000_000)
-    c = calls.where("callerNumber is not null and startTime is not null").select("callerNumber", micros("startTime").alias("t"), "id")
-    arr = c.groupBy("callerNumber").agg(F.array_sort(F.collect_list(F.struct("t", "id"))).alias("a")).where("size(a) >= 5")
-    fold = f"""aggregate(a, named_struct('w', cast(array() as array<bigint>), 'h', cast(array() as array<struct<t:bigint,d:bigint>>)), (s, x) ->
-        if(size(s.w) >= 4 and x.t - element_at(s.w, -4) < {span} and size(s.h) < 3,
-           named_struct('w', cast(array() as array<bigint>), 'h', concat(s.h, array(named_struct('t', element_at(s.w, -4), 'd', x.t - element_at(s.w, -4))))),
-           named_struct('w', slice(concat(s.w, array(x.t)), greatest(-4, -size(s.w) - 1), 4), 'h', s.h)))"""
-    h = arr.select("callerNumber", F.explode(F.expr(fold + ".h")).alias("x"))
-    return _alert(h.select(F.col("callerNumber").alias("acct"), F.timestamp_micros("x.t").alias("at"), F.col("x.d").alias("what")), "BURST", "MEDIUM")
+    The first five-call window is the first hit; the next hit is the first window that begins
+    after it, and once more: minima with map-side combination, no list of a number's calls."""
+    w = Window.partitionBy("acct").orderBy("t", "id")
+    c = calls.where("callerNumber is not null and startTime is not null").select(F.col("callerNumber").alias("acct"), micros("startTime").alias("t"), "id")
+    c = c.withColumn("rn", F.row_number().over(w)).withColumn("t0", F.lag("t", 4).over(w)).where(F.col("t") - F.col("t0") < int(cfg.burst_minutes * 60_000_000))
+    first = F.min(F.struct("rn", "t0", (F.col("t") - F.col("t0")).alias("d"))).alias("h")
+    hits = [c.groupBy("acct").agg(first)]
+    for _ in range(2):
+        after = hits[-1].select("acct", F.col("h.rn").alias("last"))
+        hits.append(c.join(after, "acct").where("rn >= last + 5").groupBy("acct").agg(first))
+    x = reduce(DataFrame.unionByName, hits)
+    return _alert(x.select("acct", F.timestamp_micros("h.t0").alias("at"), F.col("h.d").alias("what")), "BURST", "MEDIUM")
 
 
 def top_alerts(l: DataFrame, calls: DataFrame, cfg: AmlConfig = MNT, k: int = 100) -> DataFrame:
