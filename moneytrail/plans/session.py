@@ -66,6 +66,12 @@ def save(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame:
     return back
 
 
+def together(parts: list[DataFrame]) -> DataFrame:
+    """Tables of one schema written by save(), read as one scan."""
+    first = parts[0]
+    return first.sparkSession.read.schema(first.schema).parquet(*(p._moneytrail_path for p in parts))
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table written by save() that nothing reads any more."""
     path = getattr(df, "_moneytrail_path", None)
