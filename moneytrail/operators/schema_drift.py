@@ -184,39 +184,100 @@ def _scripts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["fileid", "changekind", "oldheader", "newheader"])
 
 
+def _steps(schemas: DataFrame) -> DataFrame:
+    order = Window.partitionBy("feedid").orderBy("seqno", "fileid")
+    before = schemas.select("fileid", "feedid", "seqno").withColumn("prev", F.lag("fileid").over(order)).where("prev is not null").select("fileid", "prev")
+    pairs = schemas.select("fileid", "columns").join(before, "fileid").join(schemas.select(F.col("fileid").alias("prev"), F.col("columns").alias("old")), "prev")
+    return pairs.select("fileid", "old", "columns").mapInPandas(_scripts, "fileid long, changekind string, oldheader string, newheader string")
+
+
+def _placed_schemas(files: DataFrame, profiles: DataFrame) -> DataFrame:
+    return save(file_schemas(files, profiles).where("feedid is not null and seqno is not null"))
+
+
 def schema_changes(files: DataFrame, profiles: DataFrame) -> DataFrame:
     """(fileid, changekind, oldheader, newheader): the edit script of each file against the one before it in its feed.
 
     Predecessors are found on three narrow columns; schemas (a few hundred bytes a file) are
     then joined on feed and position, so a feed of any length spreads over all tasks.  Files
     without feed, position or header take no part; the first of a feed has no changes."""
-    schemas = save(file_schemas(files, profiles).where("feedid is not null and seqno is not null"))
-    order = Window.partitionBy("feedid").orderBy("seqno", "fileid")
-    before = schemas.select("fileid", "feedid", "seqno").withColumn("prev", F.lag("fileid").over(order)).where("prev is not null").select("fileid", "prev")
-    pairs = schemas.select("fileid", "columns").join(before, "fileid").join(schemas.select(F.col("fileid").alias("prev"), F.col("columns").alias("old")), "prev")
-    return pairs.select("fileid", "old", "columns").mapInPandas(_scripts, "fileid long, changekind string, oldheader string, newheader string")
+    return _steps(_placed_schemas(files, profiles))
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_changes(table(spark, sf_dir, "import_files"), table(spark, sf_dir, "import_profiles"))
 
 
+def _chained(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Files in order of feed and position: the chain of renames that each column belongs to."""
+    feed, chain_of, before, names, last = None, {}, set(), [], []
+    for b in batches:
+        out = []
+        for i, f, headers, stands, old, new in zip(b.fileid, b.feedid, b.headers, b.stands, b.old, b.new):
+            if f != feed:
+                feed, chain_of, before, names, last = f, {}, set(), [], []
+            renamed = {} if new is None else dict(zip(new, old))
+            # columns of the file before keep their chain; a header not seen, or whose chain is another's now, begins one
+            here = {h: chain_of[renamed[h]] for h in headers if renamed.get(h) in chain_of}
+            here |= {h: chain_of[h] for h in headers if h not in here and h in before}
+            for h in headers:
+                if h in here:
+                    continue
+                c = chain_of.get(h)
+                if c is None or c in here.values():
+                    own = undecorated(h)
+                    names.append(own if c is None else f"{own} {sum(n == own or n.startswith(own + ' ') for n in names) + 1}")
+                    last.append(None)
+                    c = len(names) - 1
+                here[h] = c
+            for h, s in zip(headers, stands):
+                c = here[h]
+                last[c] = s or last[c]
+                out.append((i, f, c, h, s, last[c], names[c]))
+            chain_of |= here
+            before = set(here)
+        yield pd.DataFrame(out, columns=["fileid", "feedid", "chain", "header", "field", "carried", "first"])
+
+
+def projections(files: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(fileid, headers, names): the headers of a file that its feed's edit scripts give another name than their own.
+
+    A column that is renamed from file to file is one chain.  It bears the field that its header
+    stands for, else the last one known before in its chain, else the first one after, else the
+    undecorated header it began with.  Scripts are composed by one task a feed in order of
+    position, which keeps a number for each header; only headers and renames go there."""
+    schemas = _placed_schemas(files, profiles)
+    renamed = _steps(schemas).where("changekind = 'renamed'").groupBy("fileid").agg(F.collect_list(F.struct("oldheader", "newheader")).alias("r")).select("fileid", F.col("r.oldheader").alias("old"), F.col("r.newheader").alias("new"))
+    narrow = schemas.select("fileid", "feedid", "seqno", F.col("columns.name").alias("headers"), F.col("columns.field").alias("stands")).join(renamed, "fileid", "left")
+    ordered = narrow.repartition("feedid").sortWithinPartitions("feedid", "seqno", "fileid")
+    chains = save(ordered.select("fileid", "feedid", "headers", "stands", "old", "new").mapInPandas(_chained, "fileid long, feedid string, chain long, header string, field string, carried string, first string"))
+    at = schemas.select("fileid", F.struct("seqno", "fileid").alias("at"))
+    later = chains.where("field is not null").join(at, "fileid").groupBy("feedid", "chain").agg(F.min_by("field", "at").alias("later"))
+    named = chains.where("field is null").join(later, ["feedid", "chain"], "left").select("fileid", "header", F.coalesce("carried", "later", "first").alias("name"))
+    return named.distinct().groupBy("fileid").agg(F.collect_list(F.struct("header", "name")).alias("p")).select("fileid", F.col("p.header").alias("headers"), F.col("p.name").alias("names"))
+
+
 def unified(files: DataFrame, profiles: DataFrame) -> DataFrame:
     """(fileid, feedid, lineno, data): the valid rows of all files in one table.
 
-    data maps each field (for a header that stands for none, its undecorated name) to its
-    value: the projection that a file's schema compiles to.  Empty values are null; two
-    columns of one name keep the first non-empty value."""
+    data maps each field (for a header that stands for none, the name of its column in the
+    feed, see projections; outside a feed its undecorated name) to its value: the projection
+    that the edit scripts up to a file compile to.  Empty values are null; two columns of one
+    name keep the first non-empty value, but a column renamed from a field that another header
+    of the file stands for keeps its own undecorated name."""
     shared = files.sparkSession.sparkContext.broadcast(known_headers(profiles))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fields = Fields(shared.value)
         for b in batches:
             out = []
-            for i, feed, content, profile in zip(b.fileId, b.feedId, b.content, b.profileId):
+            for i, feed, content, profile, headers, names in zip(b.fileId, b.feedId, b.content, b.profileId, b.headers, b.names):
                 header = delimited.parse(content).header
                 known = fields.profile_of(header, profile)
-                target = [fields.field_of(h, known) or undecorated(h) for h in header]
+                carried = {} if headers is None else dict(zip(headers, names))
+                own = {h: fields.field_of(h, known) for h in header}
+                taken = {f for f in own.values() if f}
+                target = [own[h] or (carried[h] if h in carried and carried[h] not in taken else undecorated(h)) for h in header]
                 for no, why, f, _ in classify(content, profile, fields):
                     if why is None:
                         row: dict[str, str | None] = {}
@@ -225,7 +286,9 @@ def unified(files: DataFrame, profiles: DataFrame) -> DataFrame:
                         out.append((i, feed, no, row))
             yield pd.DataFrame(out, columns=["fileid", "feedid", "lineno", "data"])
 
-    return spread(files.select("fileId", "feedId", "content", "profileId")).mapInPandas(run, "fileid long, feedid string, lineno long, data map<string,string>")
+    names = projections(files, profiles).withColumnRenamed("fileid", "fileId")
+    whole = files.select("fileId", "feedId", "content", "profileId").join(names, "fileId", "left")
+    return spread(whole).mapInPandas(run, "fileid long, feedid string, lineno long, data map<string,string>")
 
 
 def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,6 +131,23 @@ def test_schema_changes(spark):
     assert schema_drift.schema_changes(files.limit(0), profiles).count() == 0
 
 
+def test_renames_are_carried_into_the_unified_table(spark):
+    """A known field and an unknown column renamed to unknown headers, a column known only later, a header used anew."""
+    def text(names, last=""):
+        return ";".join(names) + last + "\n" + "".join(f"2024-01-{d:02d};чөлөөт бичвэр {d};зүйл ангилал {d};{d}" + (f";{d}.5" if last else "") + "\n" for d in range(1, 10))
+
+    files, profiles = _tables(spark, [
+        (1, "f", 1, text(["Огноо", "memo", "тэмдэглэгээ", "till"])), (2, "f", 2, text(["Огноо", "ghjkq", "тэмдеглэгээ", "tills"])), (3, "f", 3, text(["Огноо", "vwzxp", "тэмдеглэгэ", "tillss"])),
+        (4, "f", 4, text(["Огноо", "vwzxp", "тэмдеглэгэ", "tillss"], ";till")), (5, "g", 1, text(["Огноо", "qqqq", "x1", "n1"])), (6, "g", 2, text(["Огноо", "memo", "x1", "n1"])), (7, None, 1, text(["Огноо", "ghjkq", "x1", "n1"])),
+    ])
+    got = {r["fileid"]: r["data"] for r in schema_drift.unified(files, profiles).where("data['date'] = '2024-01-01'").collect()}
+    row = {"date": "2024-01-01", "description": "чөлөөт бичвэр 1", "тэмдэглэгээ": "зүйл ангилал 1", "till": "1"}
+    assert got[1] == got[2] == got[3] == row
+    assert got[4] == row | {"till 2": "1.5"}
+    assert got[5] == got[6] and got[5]["description"] == "чөлөөт бичвэр 1"
+    assert got[7]["ghjkq"] == "чөлөөт бичвэр 1"
+
+
 def test_nested_schemas():
     n = schema_drift.Node
     a = n("", children=[n("id", kind="whole"), n("who", children=[n("name", kind="text", words=["x"]), n("born", kind="date")])])
