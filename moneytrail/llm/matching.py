@@ -1,15 +1,14 @@
 """Problem 7: the same persons in two sources without a common key.
 
-MinHash bands over the letter pairs of each uncommon name token (of full names, aliases and
-listed names, in one spelling for all scripts) give candidates; names, birth dates and
+MinHash bands over the letter pairs of each name token (of full names, aliases and listed
+names, in one spelling for all scripts) give tokens that are one word; names that agree in both
+tokens, one of which may be shortened, are candidates, however common; names, birth dates and
 countries give features; a logistic classifier trained here on a bounded sample of reviewed
 pairs gives probabilities, calibrated on a part of the pairs that it wasn't trained on.
 """
 
 from __future__ import annotations
 
-import math
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +22,6 @@ from moneytrail.plans.session import save, table
 
 BANDS, ROWS = 24, 4
 LABELS = 20_000  # most reviewed pairs that the classifier is fitted on
-COMMON_SHARE, COMMON_LEAST = 0.004, 40  # a token in more names than this is common (a given name)
 THRESHOLD = 0.5
 FEATURES = [
     "name_full", "name_short", "nickname", "ratio", "birth_day", "birth_month", "birth_year", "birth_swapped",
@@ -69,15 +67,10 @@ def with_names(people: DataFrame) -> DataFrame:
     )
 
 
-def _tokens(df: DataFrame) -> DataFrame:
+def _spelt(df: DataFrame) -> DataFrame:
+    """(id, n, kind, x, y) of each name of each person."""
     parts = F.split("n", r"\|")
-    return (
-        df.select("id", F.explode("names").alias("n"))
-        .select("id", "n", F.explode(F.array(parts[1], parts[2])).alias("t"))
-        .select("id", "n", F.split_part("t", F.lit("="), F.lit(1)).alias("t"))
-        .where("length(t) >= 4")
-        .distinct()
-    )
+    return df.select("id", F.explode("names").alias("n")).select("id", "n", parts[0].alias("kind"), parts[1].alias("x"), parts[2].alias("y")).distinct()
 
 
 def _band_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -86,23 +79,61 @@ def _band_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["t", "band"])
 
 
+def _same_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        yield b[[names.same_token(t, u) for t, u in zip(b.t, b.t2)]]
+
+
+def near_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(t, t2): tokens (t) of both sides that share a band and are the same word by names.same_token."""
+    lb, rb = (x.distinct().mapInPandas(_band_rows, "t string, band long") for x in (left, right))
+    return lb.join(rb.withColumnRenamed("t", "t2"), "band").select("t", "t2").distinct().mapInPandas(_same_tokens, "t string, t2 string")
+
+
+def short_keys(other: str) -> tuple[list[str], list[str]]:
+    """(keys of a token as the shortened one, keys as the full one): two tokens share one if the first shortens the second."""
+    t = names.folded(other)
+    stems = [f"k{t[: -len(e)]}" for e in names.PETS if t.endswith(e) and len(t) - len(e) >= 2]
+    return [f"c{t}", *stems], [f"c{t[:k]}" for k in range(1, len(t))] + [f"k{t[:k]}" for k in range(2, len(t) + 1)]
+
+
+def _sided(flip: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for n, x, y in zip(b.n, b.x, b.y):
+                for t, o in ((x, y), (y, x)):
+                    if len(names.folded(t)) >= 4:  # names.same_name wants 5, of which one may be left out
+                        short, full = short_keys(o)
+                        rows += [(n, t, ("b" if flip else "a") + k) for k in short] + [(n, t, ("a" if flip else "b") + k) for k in full]
+            yield pd.DataFrame(rows, columns=["n", "t", "key"])
+
+    return run
+
+
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b): ids whose names share a band of an uncommon token that differs by at most two letters.
-
-    Bands are computed once per distinct token and joined token to token; how many records
-    bear a token plays no part until the end."""
-    lt, rt = save(_tokens(left)), save(_tokens(right))
-    # common by different names that hold it, so that many copies of one record don't make its name common
-    spelt = save(lt.unionByName(rt).select("t", "n").distinct())
-    total = spelt.select("n").distinct().count()
-    use = spelt.groupBy("t").agg(F.count("*").alias("k"))
-    rare = save(use.where(F.col("k") <= max(COMMON_LEAST, math.ceil(COMMON_SHARE * total))).select("t"))
-    tokens_ = lambda x: x.select("t").distinct().join(rare, "t").mapInPandas(_band_rows, "t string, band long")
-    lb, rb = tokens_(lt), tokens_(rt).withColumnRenamed("t", "t2")
-    near = lb.join(rb, "band").where("abs(length(t) - length(t2)) <= 1 and levenshtein(t, t2) <= 2").select("t", "t2").distinct()
+    """(a, b): ids with names that fit: both tokens near, one near and the other shortened, or a lone token near.
+
+    Tokens are compared once per distinct token, names once per distinct name, always by both
+    tokens together, so no token is too common or too short to be used; how many records
+    bear a name plays no part until the end."""
+    ls, rs = save(_spelt(left)), save(_spelt(right))
+    ln, rn = (x.select("n", "kind", "x", "y").distinct() for x in (ls, rs))
+    words = lambda d: d.select(F.explode(F.array("x", "y")).alias("t")).where("t <> ''")
+    near = save(near_tokens(words(ln), words(rn)))
+    x_near, y_near = near.select(F.col("t").alias("x"), F.col("t2").alias("x2")), near.select(F.col("t").alias("y"), F.col("t2").alias("y2"))
+    lone = ln.where("kind = 'N'").join(x_near, "x").join(rn.where("kind = 'N'").select(F.col("x").alias("x2"), F.col("n").alias("n2")), "x2").select("n", "n2")
+    lf, rf = ln.where("kind = 'F'"), rn.where("kind = 'F'")
+    pair = lambda p, q: F.array_sort(F.array(p, q)).alias("both")
+    whole = lf.join(x_near, "x").join(y_near, "y").select("n", pair("x2", "y2")).join(rf.select(F.col("n").alias("n2"), pair("x", "y")), "both").select("n", "n2")
+    sides = "n string, t string, key string"
+    lk = lf.select("n", "x", "y").mapInPandas(_sided(False), sides).join(near, "t").select("n", "t2", "key")
+    rk = rf.select("n", "x", "y").mapInPandas(_sided(True), sides).select(F.col("n").alias("n2"), F.col("t").alias("t2"), "key")
+    short = lk.join(rk, ["t2", "key"]).select("n", "n2")
+    fits = save(lone.unionByName(whole).unionByName(short).distinct())
     return (
-        near.join(lt.select(F.col("id").alias("a"), "t"), "t")
-        .join(rt.select(F.col("id").alias("b"), F.col("t").alias("t2")), "t2")
+        fits.join(ls.select(F.col("id").alias("a"), "n"), "n")
+        .join(rs.select(F.col("id").alias("b"), F.col("n").alias("n2")), "n2")
         .select("a", "b")
         .distinct()
     )

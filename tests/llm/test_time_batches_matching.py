@@ -115,6 +115,23 @@ def test_match(spark):
     assert matching.compare_births(["1966-09-09"], ["1966-09-09"])[0] == 1 and matching.compare_births([], ["1966"])[-1] == 1
 
 
+def test_candidates_of_common_and_short_tokens_are_all_that_fit(spark):
+    """A third of all names bear one family name, tokens go down to an initial: against all pairs."""
+    rng = random.Random(3)
+    syl = ["зүд", "мүг", "цаг", "бом", "чур", "гам", "лөн", "шиг", "тол", "нор"]
+    given = ["аригун", "дуламж", "билгээн", "бат", "ану", "жавхаа"]
+    people = ["".join(rng.choice(syl) for _ in range(3)) if k % 3 else "зүдмүгцаг" for k in range(300)]
+    rows = [(str(k), names.parse(f"{rng.choice(given)}{rng.choice(['', '', *syl])} {f}")) for k, f in enumerate(people)]
+    rows += [(f"i{k}", names.parse(f"{g} зүдмүгцаг")) for k, g in enumerate(["а", "д", "билка", "ба", "жавхай"])] + [("n1", names.parse("их лүдбүжир")), ("n2", names.parse("бат"))]
+    side = spark.createDataFrame([(i, ["|".join(n)]) for i, n in rows], "id string, names array<string>")
+    got = {tuple(r) for r in matching.candidates(side, side).collect()}
+    fits = lambda m, n: m[0] == n[0] and (names.same_token(m[1], n[1]) if m[0] == "N" else names.same_name(m[1:], n[1:]) > 0)
+    near = {(i, j) for i, m in rows for j, n in rows if fits(m, n)}
+    assert {(i, j) for i, m in rows for j, n in rows if m == n} <= got
+    assert len(near - got) <= 0.02 * len(near)
+    assert got <= near
+
+
 def test_nearest_frame_function_on_empty_sides():
     e = pd.DataFrame({"id": [], "entity": [], "us": [], "span": []})
     assert nearest._nearest(e, e, 5).empty
