@@ -1,7 +1,7 @@
 """Problem 7: the same persons in two sources without a common key.
 
-MinHash bands over the letter pairs of each name token (of full names, aliases and listed
-names, in one spelling for all scripts) give tokens that are one word; names that agree in both
+Each name token's forms with a letter left out, for long ones MinHash bands over its letter
+pairs (of full names, aliases and listed names, in one spelling for all scripts), give tokens that are one word; names that agree in both
 tokens, one of which may be shortened, are candidates, however common; names, birth dates and
 countries give features; a logistic classifier trained here on a bounded sample of reviewed
 pairs gives probabilities, calibrated on a part of the pairs that it wasn't trained on.
@@ -20,7 +20,8 @@ from moneytrail.functions.times import read_birth
 from moneytrail.llm import names
 from moneytrail.plans.session import save, table
 
-BANDS, ROWS = 24, 4
+BANDS, ROWS = 24, 2
+LONG = 12  # letters from which a token is blocked by bands; up to them by its forms with a letter left out
 LABELS = 20_000  # most reviewed pairs that the classifier is fitted on
 THRESHOLD = 0.5
 FEATURES = [
@@ -47,6 +48,21 @@ def token_bands(token: str) -> list[int]:
     return [xxhash.xxh64_intdigest(row.tobytes(), seed=k) >> 1 for k, row in enumerate(sig)]
 
 
+def token_keys(token: str) -> list[int]:
+    """Keys of which two tokens that names.same_token accepts share one: of the folded word and of
+    the word itself, all forms with at most one letter left out (one error leaves one equal), or
+    bands where it is long."""
+    import xxhash
+
+    out = set()
+    for how, w in zip("fr", token.split("=")):
+        if len(w) <= LONG:
+            out |= {xxhash.xxh64_intdigest(f"{how}{x}") >> 1 for x in (w, *(w[:k] + w[k + 1 :] for k in range(len(w))))}
+        if len(w) >= LONG:
+            out |= {h ^ ord(how) for h in token_bands(w)}
+    return sorted(out)
+
+
 def _names_of(full: str | None, aliases: str | None, listed) -> list[tuple[str, str, str]]:
     out = names.record_names(full, aliases)
     for x in () if listed is None else listed:
@@ -73,10 +89,10 @@ def _spelt(df: DataFrame) -> DataFrame:
     return df.select("id", F.explode("names").alias("n")).select("id", "n", parts[0].alias("kind"), parts[1].alias("x"), parts[2].alias("y")).distinct()
 
 
-def _band_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _key_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        rows = [(t, h) for t in b.t for h in token_bands(t)]
-        yield pd.DataFrame(rows, columns=["t", "band"])
+        rows = [(t, h) for t in b.t for h in token_keys(t)]
+        yield pd.DataFrame(rows, columns=["t", "key"])
 
 
 def _same_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -85,9 +101,9 @@ def _same_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def near_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(t, t2): tokens (t) of both sides that share a band and are the same word by names.same_token."""
-    lb, rb = (x.distinct().mapInPandas(_band_rows, "t string, band long") for x in (left, right))
-    return lb.join(rb.withColumnRenamed("t", "t2"), "band").select("t", "t2").distinct().mapInPandas(_same_tokens, "t string, t2 string")
+    """(t, t2): tokens (t) of both sides that share a key and are the same word by names.same_token."""
+    lb, rb = (x.distinct().mapInPandas(_key_rows, "t string, key long") for x in (left, right))
+    return lb.join(rb.withColumnRenamed("t", "t2"), "key").select("t", "t2").distinct().mapInPandas(_same_tokens, "t string, t2 string")
 
 
 def short_keys(other: str) -> tuple[list[str], list[str]]:
