@@ -55,9 +55,10 @@ def token_keys(token: str) -> list[int]:
     import xxhash
 
     out = set()
-    for how, w in zip("fr", token.split("=")):
+    for how, w, least in zip("fr", token.split("="), (5, 4)):  # shorter words bear no error
         if len(w) <= LONG:
-            out |= {xxhash.xxh64_intdigest(f"{how}{x}") >> 1 for x in (w, *(w[:k] + w[k + 1 :] for k in range(len(w))))}
+            left_out = [w[:k] + w[k + 1 :] for k in range(len(w))] if len(w) >= least else []
+            out |= {xxhash.xxh64_intdigest(f"{how}{x}") >> 1 for x in (w, *left_out)}
         if len(w) >= LONG:
             out |= {h ^ ord(how) for h in token_bands(w)}
     return sorted(out)
