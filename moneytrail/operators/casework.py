@@ -150,20 +150,45 @@ def audit_verify(chained: DataFrame) -> DataFrame:
     return chained.withColumn("bad", bad).groupBy("chain").agg(F.count("*").alias("events"), F.min(F.when(F.col("bad"), F.col("id"))).alias("first_bad"))
 
 
+def _left_out(c: str):
+    """(name, key): hashes of a name with none, one and two letters left out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import xxhash
+
+        for b in batches:
+            rows = []
+            for w in b[c]:
+                one = {w[:i] + w[i + 1 :] for i in range(len(w))}
+                forms = {w} | one | {v[:i] + v[i + 1 :] for v in one for i in range(len(v))}
+                rows += [(w, xxhash.xxh64_intdigest(f) >> 1) for f in forms]
+            yield pd.DataFrame(rows, columns=[c, "k"])
+
+    return run
+
+
 def screening(people: DataFrame, entries: DataFrame) -> DataFrame:
-    """Best score of each person against each watch-list entry that shares a folded token or has a name
-    within two letters; ladder: equal 1, all tokens contained .85, substring .7, two letters .55, country +.05.
+    """Best score of each person against each watch-list entry of which a name is
+    equal, contained or within two letters; ladder: equal 1, all tokens contained .85, substring .7, two letters .55, country +.05.
 
-    Candidates come from equi joins: on shared tokens and on names with up to two letters deleted
-    being equal in a third of the name (two letters can't touch all three thirds)."""
+    Candidates come from equi joins on distinct names: whole names with up to two letters left
+    out (two edits leave one such form equal), and the longest token of either name against all
+    pieces of the other (a name contained whole or by its tokens has that one contained)."""
     norm = lambda c: F.translate(F.lower(F.trim(F.regexp_replace(c, r"[\x00-\x1F]", ""))), "ё", "е")
     p = people.select(F.col("id").alias("s"), F.lower("country").alias("pc"), F.explode(F.concat(F.array("fullName"), F.split(F.coalesce("aliases", F.lit("")), r"[;,|]"))).alias("n")).select("s", "pc", norm(F.col("n")).alias("n")).where("length(n) >= 3").distinct()
     e = entries.select(F.col("id").alias("e"), F.lower("country").alias("ec"), F.explode(F.concat(F.coalesce("names", F.array()), F.coalesce("aliases", F.array()))).alias("m")).select("e", "ec", norm(F.col("m")).alias("m")).where("length(m) >= 3").distinct()
-    thirds = lambda c: F.expr(f"array(concat('1:', substr({c}, 1, length({c}) div 3)), concat('3:', substr({c}, length({c}) - length({c}) div 3 + 1)))")
-    keys = lambda c: F.concat(F.filter(F.split(c, r"\s+"), lambda t: F.length(t) >= 2))
-    names_p = p.select("n").distinct().withColumn("k", F.explode(F.array_union(keys(F.col("n")), thirds("n"))))
-    names_e = e.select("m").distinct().withColumn("k", F.explode(F.array_union(keys(F.col("m")), thirds("m"))))
-    pair = names_p.join(names_e, "k").select("n", "m").distinct()
+    names_p, names_e = p.select("n").distinct(), e.select("m").distinct()
+
+    def within(short: DataFrame, long: DataFrame, a: str, b: str) -> DataFrame:
+        """Pairs of which the name b contains the longest token of a."""
+        key = F.reduce(F.split(a, r"\s+"), F.lit(""), lambda x, t: F.when(F.length(t) > F.length(x), t).otherwise(x))
+        s = short.select(a, F.xxhash64(key).alias("k")).hint("merge")  # the exploded side is far larger than its scan
+        lengths = F.sequence(F.lit(1), F.length(b))
+        pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.length(b)), lambda i: F.transform(lengths, lambda w: F.substring(F.col(b), i, w))))
+        return s.join(long.select(b, F.explode(F.array_distinct(F.transform(pieces, lambda t: F.xxhash64(t)))).alias("k")), "k").select("n", "m")
+
+    near = names_p.mapInPandas(_left_out("n"), "n string, k long").hint("merge").join(names_e.mapInPandas(_left_out("m"), "m string, k long"), "k").select("n", "m")
+    pair = near.unionByName(within(names_p, names_e, "n", "m")).unionByName(within(names_e, names_p, "m", "n")).distinct()
     has = lambda a, b: F.forall(F.split(a, r"\s+"), lambda t: b.contains(t))
     n, m = F.col("n"), F.col("m")
     score = F.when(n == m, 1.0).when(has(n, m) | has(m, n), 0.85).when(n.contains(m) | m.contains(n), 0.70).when(F.levenshtein(n, m, 2) >= 0, 0.55)

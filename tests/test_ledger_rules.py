@@ -112,6 +112,48 @@ def test_screening_ladder(spark):
     assert got == {(1, "E1"): 1.0, (2, "E2"): 0.85}
 
 
+def test_screening_against_all_pairs(spark):
+    """Edits in the first and last third, a letter added at a change of length, containment without an equal token."""
+    import random
+
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choice("abdegiklmnorstu") for _ in range(n))
+    left, right = ["abcdefgh", "xbcdefgy", "kim jong un"], ["abcdefghi", "abcdefgh", "superabcdefghland", "kimm jongg unn"]
+    for _ in range(40):
+        w = word(rng.randint(4, 9)) + rng.choice(["", " " + word(4)])
+        left.append(w)
+        for _ in range(2):
+            v = list(w)
+            for _ in range(rng.randint(1, 2)):
+                i = rng.randrange(len(v))
+                v[i : i + 1] = rng.choice([[], [v[i], "q"], ["q"]])
+            right.append("".join(v))
+        right.append(word(2) + w + word(1))
+    p = spark.createDataFrame([(k, w, None, None) for k, w in enumerate(left)], "id long, fullName string, aliases string, country string")
+    e = spark.createDataFrame([(str(k), [w], None, None) for k, w in enumerate(right)], "id string, names array<string>, aliases array<string>, country string")
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, old = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(old[j] + 1, row[j - 1] + 1, old[j - 1] + (x != y)))
+        return row[-1]
+
+    def score(a, b):
+        a, b = a.strip(), b.strip()
+        if min(len(a), len(b)) < 3:
+            return None
+        if a == b:
+            return 1.0
+        if all(t in b for t in a.split()) or all(t in a for t in b.split()):
+            return 0.85
+        return 0.55 if edits(a, b) <= 2 else None
+
+    want = {(i, str(j)): s for i, a in enumerate(left) for j, b in enumerate(right) if (s := score(a, b))}
+    assert {(r["suspect"], r["entry"]): r["score"] for r in casework.screening(p, e).collect()} == want
+
+
 def test_entities_join_by_any_key(spark):
     s = spark.createDataFrame([(1, "A  B", "N1", None), (2, "a b", None, None), (3, "c", "N1", "+976 9911-2233"), (4, "d", "N9", "99112233"), (5, "e", " ", "12345")], "id long, fullName string, nationalId string, primaryPhone string")
     got = dict((r["id"], r["person"]) for r in network.entity_components(s).collect())
