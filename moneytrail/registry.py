@@ -125,8 +125,8 @@ def _delete(t: Tables) -> DataFrame:
 
 @query("audit_verify")
 def _audit(t: Tables) -> DataFrame:
-    """A chain per account over its flagged transactions, one entry of every tenth chain altered afterwards."""
-    e = t.ledger.where("flagStatus <> 'NORMAL'").select(F.col("acct").alias("chain"), "id", lg.stamp("ts").alias("at"), F.col("channel").alias("actor"), F.col("flagStatus").alias("action"), F.col("cp").alias("target"), F.col("description").alias("detail"))
+    """A chain per account over all its transactions, one entry of every tenth chain altered afterwards."""
+    e = t.ledger.select(F.col("acct").alias("chain"), "id", lg.stamp("ts").alias("at"), F.col("channel").alias("actor"), F.col("flagStatus").alias("action"), F.col("cp").alias("target"), F.col("description").alias("detail"))
     c = cw.audit_chain(e)
     return cw.audit_verify(c.withColumn("p", F.when(F.col("chain") % 10 == 0, F.concat("p", F.lit("!"))).otherwise(F.col("p"))))
 

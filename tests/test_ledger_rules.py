@@ -105,6 +105,13 @@ def test_audit_chain_breaks_where_edited(spark):
     assert casework.audit_verify(bad).first()["first_bad"] == 3
 
 
+def test_audit_verify_covers_the_whole_ledger(spark):
+    from moneytrail.registry import Tables, _audit
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    assert _audit(t).agg(F.sum("events")).first()[0] == t.ledger.count()
+
+
 def test_screening_ladder(spark):
     p = spark.createDataFrame([(1, "kim jong un", None, "kp"), (2, "Lukashenka", None, "xx"), (3, "nobody here", "", None)], "id long, fullName string, aliases string, country string")
     e = spark.createDataFrame([("E1", ["Kim Jong Un"], None, "KP"), ("E2", ["Alexander Lukashenka"], [], "BY"), ("E3", None, None, None)], "id string, names array<string>, aliases array<string>, country string")
