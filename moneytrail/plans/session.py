@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -34,9 +35,12 @@ _ROOTS: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: below spark.checkpoint.dir.  Only a session on one machine may
+    leave that unset and gets a temporary folder; on a cluster an unset one is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file://" + _ROOTS.setdefault("own", tempfile.mkdtemp(prefix="moneytrail-"))
     key = f"{spark.sparkContext.applicationId}:{base}"
     if key not in _ROOTS:
@@ -44,12 +48,26 @@ def shared_folder(spark: SparkSession) -> str:
     return _ROOTS[key]
 
 
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop file system, path) of a path of any scheme."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p = file_system(spark, path)
+    fs.delete(p, True)
+
+
 @atexit.register
 def _clean() -> None:
     for path in _ROOTS.values():
         local = urlparse(path)
         if local.scheme in ("", "file"):
             shutil.rmtree(local.path, ignore_errors=True)
+        else:
+            with contextlib.suppress(Exception):  # the session may have ended already
+                remove(SparkSession.getActiveSession(), path)
 
 
 def save(df: DataFrame, *, partition_by: list[str] | None = None) -> DataFrame:
@@ -72,14 +90,12 @@ def together(parts: list[DataFrame]) -> DataFrame:
     return first.sparkSession.read.schema(first.schema).parquet(*(p._moneytrail_path for p in parts))
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table written by save() that nothing reads any more."""
-    path = getattr(df, "_moneytrail_path", None)
-    if path:
-        spark = df.sparkSession
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables written by save() that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_moneytrail_path", None)
+        if path:
+            remove(df.sparkSession, path)
 
 
 def spread(df: DataFrame) -> DataFrame:
