@@ -1,15 +1,19 @@
 """Problem 7: the same persons in two sources without a common key.
 
-Each name token's forms with a letter left out, for long ones MinHash bands over its letter
-pairs (of full names, aliases and listed names, in one spelling for all scripts), give tokens that are one word; names that agree in both
-tokens, one of which may be shortened, are candidates, however common; names, birth dates and
-countries give features; a logistic classifier trained here on a bounded sample of reviewed
-pairs gives probabilities, calibrated on a part of the pairs that it wasn't trained on.
+Candidates come from all attributes: each name token's forms with one letter (two in long
+words) left out, for very long ones MinHash bands over its letter pairs, give tokens that are
+one word; names that agree in two tokens, one of which may be shortened, are candidates,
+however common; so are records with one token and the whole birth date in common, if
+another token is alike.  Names, birth dates and countries give features; a logistic classifier
+trained here on a bounded sample of reviewed pairs, and on weak labels that names and birth
+dates give by themselves, gives probabilities, calibrated on a part of the pairs that it
+wasn't trained on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,11 +25,14 @@ from moneytrail.llm import names
 from moneytrail.plans.session import save, table
 
 BANDS, ROWS = 24, 2
-LONG = 12  # letters from which a token is blocked by bands; up to them by its forms with a letter left out
+LONG = 12  # letters from which a token is blocked by bands; up to them by its forms with letters left out
 LABELS = 20_000  # most reviewed pairs that the classifier is fitted on
+WEAK = 2_000  # most weakly labelled pairs of each kind that it is fitted on
+WEAK_WEIGHT = 0.1  # of a weakly labelled pair, a reviewed one counting 1
+REST = 0.6  # least ratio of the other words of names that meet by one word and the birth date
 THRESHOLD = 0.5
 FEATURES = [
-    "name_full", "name_short", "nickname", "ratio", "birth_day", "birth_month", "birth_year", "birth_swapped",
+    "name_full", "name_short", "nickname", "rest", "ratio", "birth_day", "birth_month", "birth_year", "birth_swapped",
     "birth_one_digit", "birth_same_year", "birth_conflict", "birth_missing", "country_same", "country_differs",
 ]
 
@@ -50,30 +57,34 @@ def token_bands(token: str) -> list[int]:
 
 def token_keys(token: str) -> list[int]:
     """Keys of which two tokens that names.same_token accepts share one: of the folded word and of
-    the word itself, all forms with at most one letter left out (one error leaves one equal), or
-    bands where it is long."""
+    the word itself, all forms with at most one letter left out (from names.LONG letters on two:
+    a common subsequence that long leaves one form equal), or bands where it is very long."""
     import xxhash
 
     out = set()
     for how, w, least in zip("fr", token.split("="), (5, 4)):  # shorter words bear no error
         if len(w) <= LONG:
-            left_out = [w[:k] + w[k + 1 :] for k in range(len(w))] if len(w) >= least else []
-            out |= {xxhash.xxh64_intdigest(f"{how}{x}") >> 1 for x in (w, *left_out)}
-        if len(w) >= LONG:
+            forms = {w}
+            if len(w) >= least:
+                forms |= {w[:k] + w[k + 1 :] for k in range(len(w))}
+            if len(w) >= names.LONG:
+                forms |= {x[:k] + x[k + 1 :] for x in list(forms) for k in range(len(x))}
+            out |= {xxhash.xxh64_intdigest(f"{how}{x}") >> 1 for x in forms}
+        if len(w) >= LONG - 1:
             out |= {h ^ ord(how) for h in token_bands(w)}
     return sorted(out)
 
 
-def _names_of(full: str | None, aliases: str | None, listed) -> list[tuple[str, str, str]]:
+def _names_of(full: str | None, aliases: str | None, listed) -> list[str]:
     out = names.record_names(full, aliases)
     for x in () if listed is None else listed:
         out += [p for p in names.record_names(x, None)]
-    return list(dict.fromkeys(out))
+    return [names.joined(p) for p in dict.fromkeys(out)]
 
 
 def _named(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        got = [[("|".join(n)) for n in _names_of(f, a, x)] for f, a, x in zip(b["name"], b.aliases, b.listed)]
+        got = [_names_of(f, a, x) for f, a, x in zip(b["name"], b.aliases, b.listed)]
         yield b.assign(names=got)[["id", "names", "births", "country"]]
 
 
@@ -85,9 +96,20 @@ def with_names(people: DataFrame) -> DataFrame:
 
 
 def _spelt(df: DataFrame) -> DataFrame:
-    """(id, n, kind, x, y) of each name of each person."""
-    parts = F.split("n", r"\|")
-    return df.select("id", F.explode("names").alias("n")).select("id", "n", parts[0].alias("kind"), parts[1].alias("x"), parts[2].alias("y")).distinct()
+    """(id, n) of each name of each person."""
+    return df.select("id", F.explode("names").alias("n")).distinct()
+
+
+def parts_of(named: DataFrame) -> DataFrame:
+    """named with kind and the tokens t of its names n."""
+    p = F.split("n", r"\|")
+    return named.withColumn("kind", p[0]).withColumn("t", F.slice(p, 2, names.MOST))
+
+
+def token_pairs(full: DataFrame) -> DataFrame:
+    """full (..., t) with a row (x, y) for each two tokens of a name, in alphabetical order as names keep them."""
+    two = "inline(flatten(transform(sequence(1, size(t) - 1), i -> transform(sequence(i + 1, size(t)), j -> struct(t[i - 1] as x, t[j - 1] as y)))))"
+    return full.select(*[c for c in full.columns if c != "t"], F.expr(two))
 
 
 def _key_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,57 +125,91 @@ def _same_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def near_tokens(left: DataFrame, right: DataFrame) -> DataFrame:
     """(t, t2): tokens (t) of both sides that share a key and are the same word by names.same_token."""
-    lb, rb = (x.distinct().mapInPandas(_key_rows, "t string, key long") for x in (left, right))
-    return lb.join(rb.withColumnRenamed("t", "t2"), "key").select("t", "t2").distinct().mapInPandas(_same_tokens, "t string, t2 string")
-
-
-def short_keys(other: str) -> tuple[list[str], list[str]]:
-    """(keys of a token as the shortened one, keys as the full one): two tokens share one if the first shortens the second."""
-    t = names.folded(other)
-    stems = [f"k{t[: -len(e)]}" for e in names.PETS if t.endswith(e) and len(t) - len(e) >= 2]
-    return [f"c{t}", *stems], [f"c{t[:k]}" for k in range(1, len(t))] + [f"k{t[:k]}" for k in range(2, len(t) + 1)]
-
-
-def _sided(flip: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for n, x, y in zip(b.n, b.x, b.y):
-                for t, o in ((x, y), (y, x)):
-                    if len(names.folded(t)) >= 4:  # names.same_name wants 5, of which one may be left out
-                        short, full = short_keys(o)
-                        rows += [(n, t, ("b" if flip else "a") + k) for k in short] + [(n, t, ("a" if flip else "b") + k) for k in full]
-            yield pd.DataFrame(rows, columns=["n", "t", "key"])
-
-    return run
+    lb, rb = (spread_rows(x.distinct()).mapInPandas(_key_rows, "t string, key long") for x in (left, right))
+    met = lb.join(rb.withColumnRenamed("t", "t2"), "key").select("t", "t2").distinct()
+    return met.where("t = t2").unionByName(spread_rows(met.where("t <> t2")).mapInPandas(_same_tokens, "t string, t2 string"))
+
+
+def spread_rows(df: DataFrame) -> DataFrame:
+    """df in as many tasks as there are cores at least: adaptive execution joins small partitions by
+    their bytes, but what follows costs by the row."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def sides(full: DataFrame, own: bool) -> DataFrame:
+    """(n, many, t, long, k, size): each token t of a name (n, t, many) with the keys k of each other token,
+    size letters long, as a whole one (own) or as a shortened form: two share a key if one shortens the other."""
+    tokens = "transform(t, x -> named_struct('t', x, 'f', substring_index(x, '=', 1)))"
+    # names.same_name wants a token of five letters, of which one may be left out
+    two = f"inline(flatten(transform({tokens}, (x, i) -> transform(filter({tokens}, (y, j) -> i <> j and length(x.f) >= 4), y -> named_struct('t', x.t, 'long', length(x.f) >= 5, 'o', y.f)))))"
+    if own:
+        keys = "concat(transform(sequence(1, greatest(1, length(o) - 1)), k -> if(k < length(o), concat('c', substr(o, 1, k)), null)), transform(sequence(2, greatest(2, length(o))), k -> if(k <= length(o), concat('k', substr(o, 1, k)), null)))"
+    else:
+        endings = ", ".join(f"'{e}'" for e in names.PETS)
+        keys = f"concat(array(concat('c', o)), transform(filter(array({endings}), e -> endswith(o, e) and length(o) - length(e) >= 2), e -> concat('k', substr(o, 1, length(o) - length(e)))))"
+    x = full.select("n", "many", F.expr(two))
+    return x.select("n", "many", "t", "long", F.explode(F.array_compact(F.expr(keys))).alias("k"), F.length("o").alias("size"))
+
+
+def _levels(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        level = [names.same_name(names.parted(n)[1], names.parted(m)[1]) for n, m in zip(b.n, b.n2)]
+        yield b.assign(level=level)[["n", "n2", "level"]].query("level > 0")
+
+
+def fitting_names(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((n, n2, level), (t, t2)): all names (n) of both sides that fit (level of names.same_name; lone ones
+    and texts compared as a whole: 2), and their tokens that are one word.  If both sides are one
+    table, pairs of level 1 come once, in either order.
+
+    Tokens are compared once per distinct token, names once per distinct name.  Names meet by two
+    tokens each time, both near, or one near and the other shortened, so no token is too common
+    or too short to be used and blocks hold names that fit.  Names of two tokens need no further
+    comparison; those of more are compared as a whole."""
+    ln, rn = (parts_of(x.select("n").distinct()) for x in (left, right))
+    near = save(near_tokens(*(x.where("kind <> 'L'").select(F.explode("t").alias("t")) for x in (ln, rn))))
+    lone = ln.where("kind = 'N'").select("n", F.col("t")[0].alias("t")).join(near, "t").join(rn.where("kind = 'N'").select(F.col("n").alias("n2"), F.col("t")[0].alias("t2")), "t2").select("n", "n2", F.lit(2).alias("level"))
+    whole_texts = ln.where("kind = 'L'").select("n").join(rn.where("kind = 'L'").select("n"), "n").select("n", F.col("n").alias("n2"), F.lit(2).alias("level"))
+    lf, rf = (x.where("kind = 'F'").select("n", "t", (F.size("t") > 2).alias("many")) for x in (ln, rn))
+    lp, rp = token_pairs(lf), token_pairs(rf)
+    x_near, y_near = near.select(F.col("t").alias("x"), F.col("t2").alias("x2")), near.select(F.col("t").alias("y"), F.col("t2").alias("y2"))
+    pair = lambda p, q: F.array_sort(F.array(p, q)).alias("both")
+    both = lp.join(x_near, "x").join(y_near, "y").select("n", "many", pair("x2", "y2"))
+    both = both.join(rp.select(F.col("n").alias("n2"), F.col("many").alias("many2"), pair("x", "y")), "both").select("n", "n2", (F.col("many") | F.col("many2")).alias("many"), F.lit(2).alias("level"))
+    def shortened(short: DataFrame, whole: DataFrame, a: str, b: str) -> DataFrame:
+        """Names a of short of which a token is near one of b and another shortens one of b."""
+        s = sides(short, own=False).join(near if a == "n" else near.select(F.col("t2").alias("t"), F.col("t").alias("t2")), "t")
+        w = sides(whole, own=True).select(F.col("n").alias("w"), F.col("many").alias("many2"), F.col("t").alias("t2"), F.col("long").alias("long2"), "k", F.col("size").alias("size2"))
+        # a shortened form may be a letter longer than the whole
+        return s.join(w, ["t2", "k"]).where("(long or long2) and size < size2 + 2").select(F.col("n").alias(a), F.col("w").alias(b), (F.col("many") | F.col("many2")).alias("many"), F.lit(1).alias("level"))
+
+    short = shortened(lf, rf, "n", "n2")
+    if left is not right:
+        short = short.unionByName(shortened(rf, lf, "n2", "n"))
+    met = save(both.unionByName(short).where("n <> n2").groupBy("n", "n2", "many").agg(F.max("level").alias("level")))
+    many = spread_rows(met.where("many").select("n", "n2")).mapInPandas(_levels, "n string, n2 string, level int")
+    same = lf.select("n").join(rf.select("n"), "n").select("n", F.col("n").alias("n2"), F.lit(2).alias("level"))
+    return reduce(DataFrame.unionByName, [lone, whole_texts, same, met.where("not many").select("n", "n2", "level"), many]), near
 
 
 def candidates(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b): ids with names that fit: both tokens near, one near and the other shortened, or a lone token near.
-
-    Tokens are compared once per distinct token, names once per distinct name, always by both
-    tokens together, so no token is too common or too short to be used; how many records
-    bear a name plays no part until the end."""
+    """(a, b): ids with names that fit, or with a whole birth date and a token of five letters in common."""
     ls, rs = save(_spelt(left)), save(_spelt(right))
-    ln, rn = (x.select("n", "kind", "x", "y").distinct() for x in (ls, rs))
-    words = lambda d: d.select(F.explode(F.array("x", "y")).alias("t")).where("t <> ''")
-    near = save(near_tokens(words(ln), words(rn)))
-    x_near, y_near = near.select(F.col("t").alias("x"), F.col("t2").alias("x2")), near.select(F.col("t").alias("y"), F.col("t2").alias("y2"))
-    lone = ln.where("kind = 'N'").join(x_near, "x").join(rn.where("kind = 'N'").select(F.col("x").alias("x2"), F.col("n").alias("n2")), "x2").select("n", "n2")
-    lf, rf = ln.where("kind = 'F'"), rn.where("kind = 'F'")
-    pair = lambda p, q: F.array_sort(F.array(p, q)).alias("both")
-    whole = lf.join(x_near, "x").join(y_near, "y").select("n", pair("x2", "y2")).join(rf.select(F.col("n").alias("n2"), pair("x", "y")), "both").select("n", "n2")
-    sides = "n string, t string, key string"
-    lk = lf.select("n", "x", "y").mapInPandas(_sided(False), sides).join(near, "t").select("n", "t2", "key")
-    rk = rf.select("n", "x", "y").mapInPandas(_sided(True), sides).select(F.col("n").alias("n2"), F.col("t").alias("t2"), "key")
-    short = lk.join(rk, ["t2", "key"]).select("n", "n2")
-    fits = save(lone.unionByName(whole).unionByName(short).distinct())
-    return (
-        fits.join(ls.select(F.col("id").alias("a"), "n"), "n")
+    fits, near = fitting_names(ls, rs)
+    by_name = (
+        fits.select("n", "n2").join(ls.select(F.col("id").alias("a"), "n"), "n")
         .join(rs.select(F.col("id").alias("b"), F.col("n").alias("n2")), "n2")
         .select("a", "b")
-        .distinct()
-    )
+    )
+
+    def born(people: DataFrame, spelt: DataFrame) -> DataFrame:
+        t = parts_of(spelt).where("kind <> 'L'").select("id", F.explode("t").alias("t")).where(F.length(F.substring_index("t", "=", 1)) >= 5)
+        return t.join(people.select("id", F.explode("births").alias("born")).where("length(born) = 10"), "id").distinct()
+
+    lb, rb = born(left, ls), born(right, rs)
+    by_birth = lb.join(near, "t").select(F.col("id").alias("a"), "t2", "born").join(rb.select(F.col("id").alias("b"), F.col("t").alias("t2"), "born"), ["t2", "born"]).select("a", "b")
+    return by_name.unionByName(by_birth).distinct()
 
 
 def _birth(x: str) -> tuple[int, int, int, bool]:
@@ -196,95 +252,123 @@ def compare_births(left: list[str], right: list[str]) -> list[float]:
     return [day, month, year, swapped, digit, same_year, conflict, 0.0]
 
 
+def _rest(a: tuple[str, ...], b: tuple[str, ...]) -> float:
+    """Of names with one word in common, the best ratio of two others of their words."""
+    best = 0.0
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            if names.same_token(x, y):
+                others = [names.lcs_ratio(names.folded(p), names.folded(q)) for k, p in enumerate(a) if k != i for m, q in enumerate(b) if m != j]
+                best = max([best, *others])
+    return best
+
+
 def pair_features(names_a, births_a, country_a, names_b, births_b, country_b) -> list[float]:
-    full = short = nick = 0.0
-    ratio = 0.0
+    full = short = nick = rest = ratio = 0.0
     for n in names_a if names_a is not None else ():
-        ka, xa, ya = n.split("|")
+        ka, ta = names.parted(n)
         for m in names_b if names_b is not None else ():
-            kb, xb, yb = m.split("|")
+            kb, tb = names.parted(m)
             if ka != kb:
                 continue
-            if ka == "N":
-                nick = max(nick, float(names.same_token(xa, xb)))
+            if ka != "F":
+                nick = max(nick, float(names.same_token(ta[0], tb[0]) if ka == "N" else ta == tb))
                 continue
-            level = names.same_name((xa, ya), (xb, yb))
+            level = names.same_name(ta, tb)
             full, short = max(full, float(level == 2)), max(short, float(level == 1))
-            ratio = max(ratio, names.lcs_ratio(names.folded(xa) + names.folded(ya), names.folded(xb) + names.folded(yb)))
+            rest = max(rest, 1.0 if level else _rest(ta, tb))
+            ratio = max(ratio, names.lcs_ratio("".join(map(names.folded, ta)), "".join(map(names.folded, tb))))
     short = short * (1 - full)
     same = country_a is not None and country_b is not None
     eq = same and country_a.strip().lower() == country_b.strip().lower()
     births_a = [] if births_a is None else [x for x in births_a if x]
     births_b = [] if births_b is None else [x for x in births_b if x]
-    return [full, short, nick, ratio, *compare_births(births_a, births_b), float(eq), float(same and not eq)]
+    return [full, short, nick, rest, ratio, *compare_births(births_a, births_b), float(eq), float(same and not eq)]
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, rounds: int = 40) -> np.ndarray:
-    """Weights (the last is the constant) by Newton steps on the penalised likelihood."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 0.3, rounds: int = 40) -> np.ndarray:
+    """Weights (the last is the constant) by Newton steps on the penalised likelihood of weighted rows."""
     z = np.hstack([x, np.ones((len(x), 1))])
+    v = np.ones(len(x)) if weight is None else weight
     w = np.zeros(z.shape[1])
     penalty = np.full(z.shape[1], ridge)
     penalty[-1] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty), z.T @ (y - p) - penalty * w)
+        step = np.linalg.solve((z * (v * p * (1 - p))[:, None]).T @ z + np.diag(penalty + 1e-9), z.T @ (v * (y - p)) - penalty * w)
         w += step
         if np.abs(step).max() < 1e-7:
             break
     return w
 
 
-def fit_calibrated(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float, float]:
-    """(weights, scale, shift): fitted on two thirds, the probabilities calibrated on the rest."""
-    if len(x) < 12 or len(np.unique(y)) < 2:
-        # too few labels: a name that fits and a birth that doesn't contradict
-        w = np.zeros(len(FEATURES) + 1)
-        for f, v in (("name_full", 6), ("name_short", 3), ("nickname", 3), ("birth_day", 4), ("birth_year", 2), ("birth_conflict", -8), ("birth_same_year", -3)):
-            w[FEATURES.index(f)] = v
-        w[-1] = -4
-        return w, 1.0, 0.0
+def fit_calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, float, float] | None:
+    """(weights, scale, shift): fitted on two thirds, the probabilities calibrated on the rest; None
+    unless there are rows of both kinds to learn from."""
+    weight = np.ones(len(x)) if weight is None else weight
     held = np.arange(len(x)) % 3 == 2
-    w = fit_logistic(x[~held], y[~held])
+    if len(np.unique(y[~held])) < 2:
+        return None
+    w = fit_logistic(x[~held], y[~held], weight[~held])
     s = np.hstack([x[held], np.ones((held.sum(), 1))]) @ w
     if len(np.unique(y[held])) < 2:
         return w, 1.0, 0.0
-    scale, shift = fit_logistic(s[:, None], y[held], ridge=1.0)
+    scale, shift = fit_logistic(s[:, None], y[held], weight[held], ridge=1.0)
     return (w, float(scale), float(shift)) if scale > 0 else (w, 1.0, 0.0)
 
 
-_FEATURE_SCHEMA = "a string, b string, f array<double>, hit boolean"
+_FEATURE_SCHEMA = "a string, b string, f array<double>"
 
 
 def _features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         f = [pair_features(*r) for r in zip(b.na, b.ba, b.ca, b.nb, b.bb, b.cb)]
-        yield pd.DataFrame({"a": b.a, "b": b.b, "f": f, "hit": [bool(v[0] or v[1] or v[2]) for v in f]})
+        yield pd.DataFrame({"a": b.a, "b": b.b, "f": f})
 
 
 def featured(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     la = left.select(F.col("id").alias("a"), F.col("names").alias("na"), F.col("births").alias("ba"), F.col("country").alias("ca"))
     rb = right.select(F.col("id").alias("b"), F.col("names").alias("nb"), F.col("births").alias("bb"), F.col("country").alias("cb"))
-    return pairs.select("a", "b").join(la, "a").join(rb, "b").mapInPandas(_features, _FEATURE_SCHEMA)
+    return spread_rows(pairs.select("a", "b").join(la, "a").join(rb, "b")).mapInPandas(_features, _FEATURE_SCHEMA)
+
+
+def _at(feature: str) -> F.Column:
+    return F.col("f")[FEATURES.index(feature)]
 
 
 def match(left: DataFrame, right: DataFrame, labels: DataFrame) -> DataFrame:
     """(a, b, confidence, grounds) of pairs of left and right (see with_names) with probability of at least THRESHOLD.
 
     labels (a, b, y): reviewed pairs, of which up to LABELS (by a fixed hash) train the
-    classifier.  Records without a name match nothing; repeated ids count once; without
-    labels, fixed weights hold.
+    classifier, beside up to WEAK candidates each that agree in a whole name and in the birth
+    date (taken as one person) or contradict in the latter (taken as two).  Records without a
+    name match nothing; repeated ids count once; where neither labels nor data give examples
+    of both kinds, nothing can be learnt and there are no rows.
     """
     left, right = save(with_names(left.dropDuplicates(["id"]))), save(with_names(right.dropDuplicates(["id"])))
     reviewed = labels.where("a is not null and b is not null and y is not null").dropDuplicates(["a", "b"]).orderBy(F.xxhash64("a", "b")).limit(LABELS)
-    train = featured(reviewed, left, right).join(reviewed, ["a", "b"]).select("a", "b", "f", "y").toPandas().sort_values(["a", "b"])  # at most LABELS rows
+    # a birth date and one word are shared by chance too: candidates by them need another word that is alike
+    scored = save(featured(candidates(left, right), left, right).where((_at("name_full") + _at("name_short") + _at("nickname") > 0) | (_at("rest") >= REST)))
+    some = lambda rows, y: rows.orderBy(F.xxhash64("a", "b")).limit(WEAK).select("a", "b", "f", F.lit(y).alias("y"), F.lit(WEAK_WEIGHT).alias("weight"))
+    full = scored.where(_at("name_full") > 0)
+    train = (
+        featured(reviewed, left, right).join(reviewed, ["a", "b"]).select("a", "b", "f", "y", F.lit(1.0).alias("weight"))
+        .unionByName(some(full.where(_at("birth_day") > 0), True)).unionByName(some(full.where(_at("birth_conflict") > 0), False))
+    ).toPandas().sort_values(["weight", "a", "b"])  # fmt: skip  # at most LABELS + 2 WEAK rows
     x = np.array(train.f.tolist(), float).reshape(len(train), len(FEATURES))
-    w, scale, shift = fit_calibrated(x, train.y.to_numpy(float))
-    scored = featured(candidates(left, right), left, right).where("hit")
+    fitted = fit_calibrated(x, train.y.to_numpy(float), train.weight.to_numpy(float))
+    if fitted is None:
+        return scored.select("a", "b", F.lit(0.0).alias("confidence"), F.array().cast("array<string>").alias("grounds")).limit(0)
+    w, scale, shift = fitted
     logit = sum((F.col("f")[k] * float(v) for k, v in enumerate(w[:-1])), F.lit(float(w[-1])))
     p = 1 / (1 + F.exp(-(logit * scale + shift)))
-    grounds = F.expr(
-        "filter(array(if(f[0] > 0 or f[1] > 0, 'name', null), if(f[2] > 0, 'alias', null), if(f[4] > 0 or f[5] > 0 or f[6] > 0, 'birthDate', null), if(f[12] > 0, 'country', null)), g -> g is not null)"
-    )
+    on = lambda *names_: reduce(lambda c, d: c | d, [_at(n) > 0 for n in names_])
+    grounds = F.array_compact(
+        F.array(
+            F.when(on("name_full", "name_short"), "name"), F.when(on("nickname"), "alias"),
+            F.when(on("birth_day", "birth_month", "birth_year"), "birthDate"), F.when(on("country_same"), "country"),
+        )
+    )
     return scored.select("a", "b", F.round(p, 6).alias("confidence"), grounds.alias("grounds")).where(F.col("confidence") >= THRESHOLD)
 
 

@@ -1,13 +1,14 @@
 """Names typed by people: folding of scripts and transliterations, parsing, comparison.
 
-Pure functions, used inside Arrow batches.  A name is reduced to at most two content
-tokens (given and father's name of a person, proper and sector word of an organisation);
-titles, legal forms and case endings are dropped.  Everything else is decided by comparing
-tokens, so no list of given names or sectors is needed.
+Pure functions, used inside Arrow batches.  A name is reduced to its content tokens (given,
+father's and further names of a person, proper and sector word of an organisation), all of
+them kept; titles, legal forms and case endings are dropped.  Everything else is decided by
+comparing tokens, so no list of given names or sectors is needed.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 
@@ -26,12 +27,11 @@ PET_ENDINGS_TEXT = "ээ оо ка хай аа ке ко"
 # Latin letters that look like Cyrillic ones.
 LOOKALIKES = str.maketrans("aceopxyABCEHKMOPTXYi", "асеорхуАВСЕНКМОРТХУі")
 # One Latin sign for each Cyrillic letter; C = ch, S = sh.
-CYRILLIC = dict(
-    zip(
-        "абвгдеёжзиійклмноөпрстуүфхцчшщъыьэюя",
-        "a b v g d e io j z i i i k l m n o o p r s t o o f h c C S S | i i e io ia".replace("|", "_").split(),
-    )
-) | {"ъ": ""}
+CYRILLIC = {
+    "а": "a", "б": "b", "в": "v", "г": "g", "д": "d", "е": "e", "ё": "io", "ж": "j", "з": "z", "и": "i", "і": "i", "й": "i",
+    "к": "k", "л": "l", "м": "m", "н": "n", "о": "o", "ө": "o", "п": "p", "р": "r", "с": "s", "т": "t", "у": "o", "ү": "o",
+    "ф": "f", "х": "h", "ц": "c", "ч": "C", "ш": "S", "щ": "S", "ъ": "", "ы": "i", "ь": "i", "э": "e", "ю": "io", "я": "ia",
+}
 
 _CYR = re.compile("[Ѐ-ӿ]")
 _LAT = re.compile("[A-Za-z]")
@@ -117,37 +117,33 @@ def lcs_ratio(a: str, b: str) -> float:
     return 2 * (len(a) - v.bit_count()) / (len(a) + len(b))
 
 
-SIMILAR = 0.74  # least ratio of two spellings of a word; one error is then checked exactly
+LONG = 10  # letters from which a word may bear two errors
+MOST = 8  # tokens of a name; a text with more is compared as a whole
 
 
-def one_error(a: str, b: str) -> bool:
-    """At most one letter inserted, left out, replaced or exchanged with the next."""
-    if a == b:
-        return True
-    if len(a) > len(b):
-        a, b = b, a
-    if len(b) - len(a) > 1:
-        return False
-    i = 0
-    while i < len(a) and a[i] == b[i]:
-        i += 1
-    if len(a) < len(b):
-        return a[i:] == b[i + 1 :]
-    return a[i + 1 :] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
+def least_ratio(a: str, b: str) -> float:
+    """The least lcs_ratio of two spellings of a word: what one letter replaced, left out or moved
+    leaves of the longer one, in words of LONG letters and more two letters."""
+    n = max(len(a), len(b))
+    return 2 * (n - (2 if n >= LONG else 1)) / (len(a) + len(b))
+
+
+def alike(a: str, b: str) -> bool:
+    return lcs_ratio(a, b) >= least_ratio(a, b) - 1e-9
 
 
 def same_token(a: str, b: str) -> bool:
-    """The same word up to one typing error; words of one script by their own letters,
-    others by their folded ones."""
+    """The same word by the ratio of its longest common subsequence; words of one script by their own
+    letters, others by their folded ones."""
     if a == b:
         return True
     fa, _, ra = a.partition("=")
     fb, _, rb = b.partition("=")
     if ra and rb:
-        return min(len(ra), len(rb)) >= 3 and max(len(ra), len(rb)) >= 4 and lcs_ratio(ra, rb) >= SIMILAR and one_error(ra, rb)
+        return min(len(ra), len(rb)) >= 3 and max(len(ra), len(rb)) >= 4 and alike(ra, rb)
     if fa == fb:
         return True
-    return min(len(fa), len(fb)) >= 5 and lcs_ratio(fa, fb) >= SIMILAR and one_error(fa, fb)
+    return min(len(fa), len(fb)) >= 5 and alike(fa, fb)
 
 
 def is_pet(short: str, full: str) -> bool:
@@ -167,11 +163,15 @@ def shortens(short: str, full: str) -> bool:
     return (len(short) < len(full) and full.startswith(short)) or is_pet(short, full)
 
 
-def parse(text: str | None) -> tuple[str, str, str] | None:
-    """(kind, first token, second token) of one written name, None without content.
+Name = tuple[str, tuple[str, ...]]  # kind, tokens
+
 
-    kind 'F': two tokens in alphabetical order; 'N': an epithet and a street name, or a
-    single token (second token '').
+def parse(text: str | None) -> Name | None:
+    """(kind, tokens) of one written name, None without content.
+
+    kind 'F': two to MOST tokens in alphabetical order, all of the name's but initials that
+    repeat the beginning of another; 'N': a single token, or a street name with its epithet
+    dropped; 'L': a text of more tokens, as a digest of all of them.
     """
     ts = tokens(text)
     if not ts:
@@ -179,17 +179,26 @@ def parse(text: str | None) -> tuple[str, str, str] | None:
     rest = [t for t in ts if folded(t) not in EPITHETS]
     if rest and len(rest) < len(ts):
         if len(rest) == 1:
-            return "N", rest[0], ""
+            return "N", (rest[0],)
         ts = rest
     if len(ts) > 2:
         full = [t for t in ts if len(folded(t)) > 1]
-        ts = full if len(full) >= 2 else ts
+        kept = [t for t in ts if len(folded(t)) > 1 or not any(folded(f).startswith(folded(t)) for f in full)]
+        ts = kept if len(kept) >= 2 else ts
     if len(ts) == 1:
-        return "N", ts[0], ""
-    if len(ts) > 2:
-        ts = sorted(ts, key=lambda t: (-len(folded(t)), t))[:2]
-    a, b = sorted(ts)
-    return "F", a, b
+        return "N", (ts[0],)
+    if len(ts) > MOST:
+        return "L", (hashlib.sha256(" ".join(sorted(map(folded, ts))).encode("utf-8", "surrogatepass")).hexdigest()[:32],)
+    return "F", tuple(sorted(ts))
+
+
+def joined(name: Name) -> str:
+    return "|".join((name[0], *name[1]))
+
+
+def parted(text: str) -> Name:
+    kind, *ts = text.split("|")
+    return kind, tuple(ts)
 
 
 def alias_parts(aliases: str | None, full_name: str | None) -> list[str]:
@@ -207,7 +216,7 @@ def alias_parts(aliases: str | None, full_name: str | None) -> list[str]:
     return out
 
 
-def record_names(full_name: str | None, aliases: str | None) -> list[tuple[str, str, str]]:
+def record_names(full_name: str | None, aliases: str | None) -> list[Name]:
     """All parsed names of a record; a lone alias that only shortens or repeats a part of the
     full name identifies nobody and is left out."""
     own = tokens(full_name)
@@ -216,22 +225,49 @@ def record_names(full_name: str | None, aliases: str | None) -> list[tuple[str,
         out.append(p)
     for text in alias_parts(aliases, full_name):
         p = parse(text)
-        if p is None or (p[0] == "N" and any(same_token(p[1], o) or shortens(p[1], o) for o in own)):
+        if p is None or (p[0] == "N" and any(same_token(p[1][0], o) or shortens(p[1][0], o) for o in own)):
             continue
         out.append(p)
     return list(dict.fromkeys(out))
 
 
-def same_name(a: tuple[str, str], b: tuple[str, str]) -> int:
-    """2: both tokens the same word; 1: one the same, the other shortened; 0: neither.
-    The tokens may stand in either order."""
+def same_name(a: tuple[str, ...], b: tuple[str, ...]) -> int:
+    """2: each token of one is the same word as one of the other; 1: one name shortens the other: each
+    token of the one with fewer has its own in the other, at least one of five letters the same
+    word, the rest the same or shortened; tokens are left out only beside two that are the same;
+    0: neither.  Tokens may stand in any order."""
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == 2 == len(b):
+        best = 0
+        for x, y in ((b[0], b[1]), (b[1], b[0])):
+            s, t = same_token(a[0], x), same_token(a[1], y)
+            if s and t:
+                return 2
+            if s and _long(a[0], x) and (shortens(a[1], y) or shortens(y, a[1])):
+                best = 1
+            elif t and _long(a[1], y) and (shortens(a[0], x) or shortens(x, a[0])):
+                best = 1
+        return best
+    fit = [[2 if same_token(x, y) else 1 if shortens(x, y) or shortens(y, x) else 0 for y in b] for x in a]
     best = 0
-    for x, y in ((b[0], b[1]), (b[1], b[0])):
-        s, t = same_token(a[0], x), same_token(a[1], y)
-        if s and t:
-            return 2
-        if s and len(folded(a[0])) >= 5 and (shortens(a[1], y) or shortens(y, a[1])):
-            best = 1
-        elif t and len(folded(a[1])) >= 5 and (shortens(a[0], x) or shortens(x, a[0])):
-            best = 1
+
+    def place(i: int, used: int, same: int, long: bool) -> None:
+        nonlocal best
+        if i == len(a):
+            if same == len(a) == len(b):
+                best = 2
+            elif long and (len(a) == len(b) or same >= 2):
+                best = max(best, 1)
+            return
+        for j, f in enumerate(fit[i]):
+            if f and best < 2 and not used >> j & 1:
+                place(i + 1, used | 1 << j, same + (f == 2), long or (f == 2 and _long(a[i], b[j])))
+
+    if len(a) >= 2:
+        place(0, 0, 0, False)
     return best
+
+
+def _long(a: str, b: str) -> bool:
+    return max(len(folded(a)), len(folded(b))) >= 5

@@ -6,9 +6,9 @@ from moneytrail.llm.languages import p10_found, p10_segments
 from moneytrail.llm.leakage import p9_found
 from moneytrail.llm.matching import p7_found, p7_matches
 from moneytrail.llm.nearest import p4_found
-from moneytrail.llm.variants import p1_found
+from moneytrail.llm.variants import p1_classes, p1_found
 
-QUERIES = {f.__name__: f for f in (p1_found, p4_found, p6_found, p7_found, p7_matches, p8_ids, p9_found, p10_found, p10_segments)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_classes, p4_found, p6_found, p7_found, p7_matches, p8_ids, p9_found, p10_found, p10_segments)}
 ORACLE_SQL: dict[str, str] = {
     "p4_found": """
         with t as (select t.id, a.suspectId as s, t.timestamp as ts from bank_transactions t
