@@ -20,14 +20,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
 
     Alternates large-star and small-star steps (each a map-side combined minimum and an
     equi-join), so rounds grow with the logarithm of the longest path and no group is ever
-    collected; stars need no round.  Null ends and loops are ignored; an empty input gives an
+    collected.  Null ends and loops are ignored; an empty input gives an
     empty result; nodes without an edge don't appear.  Every round is a written table.
     """
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v"))
     e = save(e.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     for _ in range(max_rounds):
-        if _settled(e):
-            break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -37,6 +35,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         nxt = save(small.unionByName(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         discard(e)
         e = nxt
+        if _settled(e):
+            break
     else:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
