@@ -168,7 +168,8 @@ def fitting_names(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFra
     or too short to be used and blocks hold names that fit.  Names of two tokens need no further
     comparison; those of more are compared as a whole."""
     ln, rn = (parts_of(x.select("n").distinct()) for x in (left, right))
-    near = save(near_tokens(*(x.where("kind <> 'L'").select(F.explode("t").alias("t")) for x in (ln, rn))))
+    # joined by merging: it is used in many joins at once, and each broadcast would pass through the driver
+    near = save(near_tokens(*(x.where("kind <> 'L'").select(F.explode("t").alias("t")) for x in (ln, rn)))).hint("merge")
     lone = ln.where("kind = 'N'").select("n", F.col("t")[0].alias("t")).join(near, "t").join(rn.where("kind = 'N'").select(F.col("n").alias("n2"), F.col("t")[0].alias("t2")), "t2").select("n", "n2", F.lit(2).alias("level"))
     whole_texts = ln.where("kind = 'L'").select("n").join(rn.where("kind = 'L'").select("n"), "n").select("n", F.col("n").alias("n2"), F.lit(2).alias("level"))
     lf, rf = (x.where("kind = 'F'").select("n", "t", (F.size("t") > 2).alias("many")) for x in (ln, rn))

@@ -113,7 +113,7 @@ def test_an_index_is_opened_again_and_gives_the_same(spark, tmp_path):
     one = batches.CellIndex.create(spark, str(tmp_path / "one"), 60)
     for p in parts:
         one.add(p)
-    batches.CellIndex.create(spark, str(tmp_path / "two"), 1, per_shard=1)
+    batches.CellIndex.create(spark, str(tmp_path / "two"), 1, shard_bytes=40)
     for p in parts:  # a file laid out anew on the way, and opened for each batch
         batches.CellIndex.open(spark, str(tmp_path / "two")).add(p)
     two = batches.CellIndex.open(spark, str(tmp_path / "two"))
@@ -141,9 +141,8 @@ def test_what_a_batch_reads_does_not_grow_with_history(spark, tmp_path):
     read, shards = [], []
     for n in (3000, 30_000):
         rows = [(k, str(rng.randrange(10**11, 10**12)), k, "F|arigon|zodmogcag", "b") for k in range(n)]
-        index = batches.CellIndex.create(spark, str(tmp_path / f"i{n}"), n, per_shard=3)
-        index._write(spark.createDataFrame(rows, batches.VECTORS).withColumnRenamed("id", "label"), "first")
-        index.meta["batches"] = ["first"]
+        index = batches.CellIndex.create(spark, str(tmp_path / f"i{n}"), n, shard_bytes=120)
+        index._append(index._vectors(spark.createDataFrame(rows, batches.VECTORS).withColumnRenamed("id", "label")), "first")
         mine = spark.createDataFrame([(10**6, "123456123456", 5, "F|arigon|zodmogcag", "b")], batches.VECTORS)
         found = index.probed(mine).agg(F.count("*"), F.count_distinct("shard")).first()
         read.append(found[0])
