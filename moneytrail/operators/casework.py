@@ -168,15 +168,16 @@ def _left_out(c: str):
 
 
 def screening(people: DataFrame, entries: DataFrame) -> DataFrame:
-    """Best score of each person against each watch-list entry of which a name is
-    equal, contained or within two letters; ladder: equal 1, all tokens contained .85, substring .7, two letters .55, country +.05.
+    """Best score of each person against each watch-list entry, of which a name (caption, names, aliases) is
+    equal, contains all of the person's tokens, is contained or contains, or lies within two letters; ladder:
+    equal 1, tokens .85, substring .7, two letters .55, country +.05.  Names under three letters take no part.
 
     Candidates come from equi joins on distinct names: whole names with up to two letters left
     out (two edits leave one such form equal), and the longest token of either name against all
     pieces of the other (a name contained whole or by its tokens has that one contained)."""
     norm = lambda c: F.translate(F.lower(F.trim(F.regexp_replace(c, r"[\x00-\x1F]", ""))), "ё", "е")
     p = people.select(F.col("id").alias("s"), F.lower("country").alias("pc"), F.explode(F.concat(F.array("fullName"), F.split(F.coalesce("aliases", F.lit("")), r"[;,|]"))).alias("n")).select("s", "pc", norm(F.col("n")).alias("n")).where("length(n) >= 3").distinct()
-    e = entries.select(F.col("id").alias("e"), F.lower("country").alias("ec"), F.explode(F.concat(F.coalesce("names", F.array()), F.coalesce("aliases", F.array()))).alias("m")).select("e", "ec", norm(F.col("m")).alias("m")).where("length(m) >= 3").distinct()
+    e = entries.select(F.col("id").alias("e"), F.lower("country").alias("ec"), F.explode(F.concat(F.array("caption"), F.coalesce("names", F.array()), F.coalesce("aliases", F.array()))).alias("m")).select("e", "ec", norm(F.col("m")).alias("m")).where("length(m) >= 3").distinct()
     names_p, names_e = p.select("n").distinct(), e.select("m").distinct()
 
     def within(short: DataFrame, long: DataFrame, a: str, b: str) -> DataFrame:
@@ -191,7 +192,7 @@ def screening(people: DataFrame, entries: DataFrame) -> DataFrame:
     pair = near.unionByName(within(names_p, names_e, "n", "m")).unionByName(within(names_e, names_p, "m", "n")).distinct()
     has = lambda a, b: F.forall(F.split(a, r"\s+"), lambda t: b.contains(t))
     n, m = F.col("n"), F.col("m")
-    score = F.when(n == m, 1.0).when(has(n, m) | has(m, n), 0.85).when(n.contains(m) | m.contains(n), 0.70).when(F.levenshtein(n, m, 2) >= 0, 0.55)
+    score = F.when(n == m, 1.0).when(has(n, m), 0.85).when(n.contains(m) | m.contains(n), 0.70).when(F.levenshtein(n, m, 2) >= 0, 0.55)
     hit = pair.withColumn("score", score).where("score is not null")
     g = hit.join(p, "n").join(e, "m").groupBy("s", "e").agg(F.max("score").alias("b"), F.first("pc").alias("pc"), F.first("ec").alias("ec"))
     return g.select(F.col("s").alias("suspect"), F.col("e").alias("entry"), F.round(F.least(F.lit(1.0), F.col("b") + F.when(F.col("pc") == F.col("ec"), 0.05).otherwise(0.0)), 2).alias("score"))

@@ -14,11 +14,13 @@ def _cell(data: str, field: str) -> Column:
 
 
 def import_bank(rows: DataFrame, stored: DataFrame | None = None) -> DataFrame:
-    """(fileid, lineno, status, ts_us, type, amount, ...) of rows (fileid, lineno, data: field -> text).
+    """(fileid, lineno, status, ts_us, type, amount, ...) of rows (fileid, lineno, data: field -> text; data is
+    null for a line that doesn't parse).
 
-    SKIPPED: no date, an opening balance, or no amount; DUPLICATE: a reference of the account seen before,
-    or a fingerprint stored as often already; else IMPORTED.  Split amounts: a positive credit wins, else the
-    debit; signed ones: 0 and more is credit."""
+    SKIPPED: no parse, no date, an opening balance, or no amount; DUPLICATE: a reference of the account imported
+    before (without an account, in the same file), or a fingerprint stored as often already; else IMPORTED.
+    Split amounts: a positive credit wins, else the debit; signed ones: 0 and more is credit.  The balance after
+    is the stated one, else that before with the amount added or taken."""
     g = lambda f: _cell("data", f)
     us = apply_time_of_day(read_datetime(F.coalesce(g("date"), g("datetime"))), g("time"))
     credit, debit, signed = clean_amount(g("credit")), clean_amount(g("debit")), clean_amount(g("amount"))
@@ -27,11 +29,18 @@ def import_bank(rows: DataFrame, stored: DataFrame | None = None) -> DataFrame:
         "fileid", "lineno", us.alias("ts_us"), F.when(F.when(split, credit > 0).otherwise(signed >= 0), "credit").otherwise("debit").alias("type"),
         F.when(split, F.when(credit > 0, credit).otherwise(F.abs(debit))).otherwise(F.abs(signed)).alias("amount"),
         g("account").alias("account"), g("counterpartyAccount").alias("cp"), g("counterpartyName").alias("cp_name"), g("description").alias("description"), g("reference").alias("ref"),
-        F.coalesce(g("currency"), F.lit("MNT")).alias("currency"), F.when(split, (credit > 0) | (debit != 0)).otherwise(g("amount").isNotNull()).alias("has_amount"),
+        F.upper(F.coalesce(g("currency"), F.lit("MNT"))).alias("currency"), g("counterpartyNationalId").alias("cp_nat"), g("category").alias("category"), g("channel").alias("channel"),
+        *(F.when(g(c).isNotNull(), clean_amount(g(c))).alias(c) for c in ("balance", "balanceBefore")), F.when(split, (credit > 0) | (debit != 0)).otherwise(g("amount").isNotNull()).alias("has_amount"),
     )
-    skip = F.col("ts_us").isNull() | ~F.col("has_amount") | F.coalesce(F.lower("description").contains("эхний үлдэгдэл"), F.lit(False))
-    nth = F.row_number().over(Window.partitionBy("account", "ref").orderBy("fileid", "lineno"))
-    x = x.withColumn("skip", skip).withColumn("again", F.col("ref").isNotNull() & ~F.col("skip") & (nth > 1))
+    skip = F.col("ts_us").isNull() | F.coalesce(~F.col("has_amount"), F.lit(True)) | F.coalesce(F.col("description").contains("Эхний үлдэгдэл"), F.lit(False))
+    after = F.col("balanceBefore") + F.when(F.col("type") == "credit", F.col("amount")).otherwise(-F.col("amount"))
+    x = x.withColumn("skip", skip).withColumn("balance", F.coalesce("balance", after)).drop("balanceBefore")
+    # the first imported row of each reference, by a minimum with map-side combination
+    at = F.struct("fileid", "lineno")
+    key = {"_owner": F.coalesce(F.concat(F.lit("a"), F.col("account")), F.concat(F.lit("f"), F.col("fileid").cast("string"))), "_ref": F.col("ref")}
+    x = x.withColumns(key)
+    first = x.where("ref is not null and not skip").groupBy("_owner", "_ref").agg(F.min(at).alias("_first"))
+    x = x.join(first, ["_owner", "_ref"], "left").withColumn("again", F.coalesce(~F.col("skip") & (at > F.col("_first")), F.lit(False))).drop("_owner", "_ref", "_first")
     finger = ["ts_us", "type", "cents", "cp", "description"]
     x = x.withColumn("cents", F.round(F.col("amount") * 100).cast("long"))
     if stored is not None:
@@ -65,6 +74,7 @@ def import_access(rows: DataFrame) -> DataFrame:
 
 
 def summary(imported: DataFrame) -> DataFrame:
-    return imported.groupBy("fileid").agg(
-        F.count("*").alias("total"), F.count_if(F.col("status") == "IMPORTED").alias("imported"), F.count_if(F.col("status") == "SKIPPED").alias("skipped"), F.count_if(F.col("status") == "DUPLICATE").alias("duplicate")
+    """Rows by status of each file; a file without lines has a row of zeros if imported holds one without lineno."""
+    return imported.withColumn("status", F.when(F.col("lineno").isNotNull(), F.col("status"))).groupBy("fileid").agg(
+        F.count("lineno").alias("total"), F.count_if(F.col("status") == "IMPORTED").alias("imported"), F.count_if(F.col("status") == "SKIPPED").alias("skipped"), F.count_if(F.col("status") == "DUPLICATE").alias("duplicate")
     )

@@ -149,11 +149,12 @@ def located_events(l: DataFrame, calls: DataFrame) -> DataFrame:
 
 
 def dwell_zones(events: DataFrame, top: int = 10) -> DataFrame:
-    """Events by coordinates (four decimals): count, busiest hour, one name; the ten largest."""
+    """Events by coordinates (four decimals): count, busiest hour, one name, events of each hour; the ten largest."""
     e = events.withColumn("p", place(F.col("location"))).where("p is not null and ts is not null")
     e = e.select(F.round("p.lat", 4).alias("lat"), F.round("p.lng", 4).alias("lng"), F.lower("p.name").alias("name"), F.hour("ts").alias("h"))
     by = e.groupBy("lat", "lng", "h").agg(F.count("*").alias("n"), F.min("name").alias("name"))
-    g = by.groupBy("lat", "lng").agg(F.sum("n").alias("hits"), F.max_by("h", F.struct("n", -F.col("h"))).cast("long").alias("peak_hour"), F.min("name").alias("name"))
+    hours = [F.coalesce(F.sum(F.when(F.col("h") == k, F.col("n"))), F.lit(0)).alias(f"h{k:02d}") for k in range(24)]
+    g = by.groupBy("lat", "lng").agg(F.sum("n").alias("hits"), F.max_by("h", F.struct("n", -F.col("h"))).cast("long").alias("peak_hour"), F.min("name").alias("name"), *hours)
     return g.orderBy(F.desc("hits"), "lat", "lng").limit(top)
 
 
@@ -176,8 +177,8 @@ def travel_correlation(l: DataFrame, calls: DataFrame, accounts: DataFrame, hour
     c = calls.where("suspectId is not null and startTime is not null").withColumn("p", place(F.col("location"))).where("p is not null")
     c = c.select(F.col("suspectId").alias("s"), F.col("id").alias("call"), micros("startTime").alias("cu"), F.col("p.name").alias("call_place"))
     c = c.withColumn("slot", F.explode(F.expr(f"array(cu div {span} - 1, cu div {span}, cu div {span} + 1)")))
-    h = t.join(c, ["s", "slot"]).withColumn("dt", F.col("cu") - F.col("tu")).where((F.abs("dt") <= span) & (F.col("txn_place") != F.col("call_place")))
-    return h.select(F.col("s").alias("suspect"), "txn", "call", "txn_place", "call_place", F.round(F.col("dt") / 6e7, 4).alias("minutes"))
+    h = t.join(c, ["s", "slot"]).withColumn("dt", F.col("cu") - F.col("tu")).where((F.abs("dt") <= span) & (F.lower("txn_place") != F.lower("call_place")))
+    return h.select(F.col("s").alias("suspect"), "txn", "call", "txn_place", "call_place", (F.floor(F.col("dt") / 6000) / 10000.0).alias("minutes"))
 
 
 def shared_key_links(people: DataFrame, key: Column) -> DataFrame:
@@ -211,19 +212,34 @@ def phone8(c: str) -> Column:
 
 
 def phone_links(calls: DataFrame, suspects: DataFrame) -> DataFrame:
-    """Calls between phones of two people."""
-    p = suspects.select(phone8("primaryPhone").alias("k"), "id").where("k is not null").groupBy("k").agg(F.max("id").alias("p"))
+    """Calls between phones of two people; a phone that several share counts for each of them."""
+    p = suspects.select(phone8("primaryPhone").alias("k"), F.col("id").alias("p")).where("k is not null").distinct()
     c = calls.select("id", F.coalesce("durationSeconds", F.lit(0)).alias("sec"), phone8("callerNumber").alias("k1"), phone8("calledNumber").alias("k2"))
+    # one row per pair of phones before their owners are looked up
+    c = c.where("k1 is not null and k2 is not null and k1 <> k2").groupBy(F.least("k1", "k2").alias("k1"), F.greatest("k1", "k2").alias("k2")).agg(F.count("*").alias("n"), F.sum("sec").alias("sec"))
     h = c.join(p.select(F.col("k").alias("k1"), F.col("p").alias("x")), "k1").join(p.select(F.col("k").alias("k2"), F.col("p").alias("y")), "k2").where("x <> y")
-    g = h.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("n"), F.sum("sec").alias("seconds"))
+    g = h.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("n").alias("n"), F.sum("sec").alias("seconds"))
     return g.select("a", "b", "n", "seconds", F.least(F.lit(10), F.floor(F.col("n") / 5) + 1).cast("long").alias("strength"), F.when(F.col("n") > 10, "HIGH").otherwise("MEDIUM").alias("confidence"))
 
 
+def numbered(df: DataFrame, key: str, part: Column, name: str) -> DataFrame:
+    """df with its position from 0 in the order of (part, key): numbers inside each part, plus the sizes of
+    the parts before it, so that no task holds more than a part.  part must not fall as key grows."""
+    d = df.withColumn("_part", part)
+    sizes = d.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # one row per part
+    w = Window.partitionBy("_part").orderBy(key)
+    return d.withColumn("_rn", F.row_number().over(w) - 1).join(before, "_part").withColumn(name, F.col("_before") + F.col("_rn")).drop("_part", "_n", "_before", "_rn")
+
+
+CHART_PART = 100_000  # ids that one task numbers
+
+
 def chart_entities(suspects: DataFrame) -> DataFrame:
     """Nodes on a circle around (350, 250) of radius 200, in order of id."""
-    n = F.count("*").over(Window.partitionBy())
-    i = F.row_number().over(Window.orderBy("id")) - 1
-    w = suspects.where("riskLevel in ('HIGH', 'CRITICAL') and status = 'UNDER_INVESTIGATION'").select("id", "fullName", i.alias("i"), n.alias("n"))
+    w = suspects.where("riskLevel in ('HIGH', 'CRITICAL') and status = 'UNDER_INVESTIGATION'").select("id", "fullName")
+    total_ = F.broadcast(w.agg(F.count("*").alias("n")))  # one row
+    w = numbered(w, "id", F.expr(f"id div {CHART_PART}"), "i").crossJoin(total_)
     angle = F.col("i") * 2 * 3.141592653589793 / F.col("n")
     return w.select("id", "fullName", F.round(350 + 200 * F.cos(angle), 4).alias("x"), F.round(250 + 200 * F.sin(angle), 4).alias("y"))
 

@@ -257,8 +257,9 @@ def projections(files: DataFrame, profiles: DataFrame) -> DataFrame:
     return named.distinct().groupBy("fileid").agg(F.collect_list(F.struct("header", "name")).alias("p")).select("fileid", F.col("p.header").alias("headers"), F.col("p.name").alias("names"))
 
 
-def unified(files: DataFrame, profiles: DataFrame) -> DataFrame:
-    """(fileid, feedid, lineno, data): the valid rows of all files in one table.
+def unified(files: DataFrame, profiles: DataFrame, valid: bool = True) -> DataFrame:
+    """(fileid, feedid, lineno, data): the valid rows of all files in one table; with valid=False also
+    (profile) and, with null data, the lines that don't parse, and one without lineno for each file's header.
 
     data maps each field (for a header that stands for none, the name of its column in the
     feed, see projections; outside a feed its undecorated name) to its value: the projection
@@ -278,17 +279,23 @@ def unified(files: DataFrame, profiles: DataFrame) -> DataFrame:
                 own = {h: fields.field_of(h, known) for h in header}
                 taken = {f for f in own.values() if f}
                 target = [own[h] or (carried[h] if h in carried and carried[h] not in taken else undecorated(h)) for h in header]
+                if header and not valid:
+                    out.append((i, feed, None, None, known))
                 for no, why, f, _ in classify(content, profile, fields):
+                    row: dict[str, str | None] | None = None
                     if why is None:
-                        row: dict[str, str | None] = {}
+                        row = {}
                         for t, v in zip(target, f):
                             row[t] = row.get(t) or v.strip() or None
-                        out.append((i, feed, no, row))
-            yield pd.DataFrame(out, columns=["fileid", "feedid", "lineno", "data"])
+                    if why is None or not valid:
+                        out.append((i, feed, no, row, known))
+            rows = pd.DataFrame(out, columns=["fileid", "feedid", "lineno", "data", "profile"])
+            yield rows.astype({"lineno": "Int64"})
 
     names = projections(files, profiles).withColumnRenamed("fileid", "fileId")
     whole = files.select("fileId", "feedId", "content", "profileId").join(names, "fileId", "left")
-    return spread(whole).mapInPandas(run, "fileid long, feedid string, lineno long, data map<string,string>")
+    rows = spread(whole).mapInPandas(run, "fileid long, feedid string, lineno long, data map<string,string>, profile string")
+    return rows.drop("profile") if valid else rows
 
 
 def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:

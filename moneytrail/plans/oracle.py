@@ -1,5 +1,7 @@
 """The same queries in SQL, for the comparison of results."""
 
+from moneytrail.operators.network import GAZETTEER
+
 L = """l as (select id, bankAccountId as acct, "timestamp" as ts, amount, cast(amount as double) as amt, lower(coalesce(type, 'debit')) as type,
   category, description, referenceNumber as ref, counterpartyAccount as cp, counterpartyName as cp_name, counterpartyNationalId as cp_nat,
   channel, location, currency, flagStatus from bank_transactions where bankAccountId is not null and "timestamp" is not null and amount is not null)"""
@@ -149,10 +151,10 @@ ORACLE_SQL = {
     "links_financial": f"with {L}, {FIN} select * from fin",
     "links_shared_address": shared("address"),
     "links_shared_phone": shared(phone8("primaryPhone")),
-    "links_phone": f"""with p as (select k, max(id) as p from (select id, {phone8('primaryPhone')} as k from suspects) where k is not null group by k),
+    "links_phone": f"""with p as (select distinct k, p from (select id as p, {phone8('primaryPhone')} as k from suspects) where k is not null),
       c as (select coalesce(durationSeconds, 0) as sec, {phone8('callerNumber')} as k1, {phone8('calledNumber')} as k2 from call_records)
       select least(x.p, y.p) as a, greatest(x.p, y.p) as b, count(*) as n, sum(sec)::bigint as seconds, least(10, count(*) // 5 + 1)::bigint as strength, case when count(*) > 10 then 'HIGH' else 'MEDIUM' end as confidence
-      from c join p x on x.k = k1 join p y on y.k = k2 where x.p <> y.p group by 1, 2""",
+      from c join p x on x.k = k1 join p y on y.k = k2 where x.p <> y.p and k1 <> k2 group by 1, 2""",
     "association_matrix": f"""with {L}, {FIN}, two as (select a as r, b as c, n, total from fin union all select b, a, n, total from fin), cell as (select r as row, c as col, count(*) as links, sum(n)::bigint as events, round(sum(total), 2) as value from two group by 1, 2),
       top as (select greatest(max(events), 1) as me, greatest(max(value), 1) as mv from cell) select row, col, links, events, value, round(least(1.0, 0.5 * value / mv + 0.5 * events / me), 6)::double as strength from cell, top""",
     "chart_entities": """select id, fullName, round(350 + 200 * cos(i * 2 * 3.141592653589793::double / n), 4) as x, round(250 + 200 * sin(i * 2 * 3.141592653589793::double / n), 4) as y
@@ -190,3 +192,69 @@ ORACLE_SQL = {
     "stream_daily_flows": f"""with {L} select acct, strftime(ts, '%Y-%m-%d') as day, coalesce({C}, 0)::double as inflow, coalesce({D}, 0)::double as outflow, count(*) as n,
       coalesce({C} > 10000000 and {D}::double > {C}::double * 0.9::double, false) as mule from l group by 1, 2""",
 }
+
+
+def burst(minutes: float) -> str:
+    c = f"""c as (select *, t - t0 as d from (select callerNumber as acct, epoch_us(startTime) as t, row_number() over w as rn, lag(epoch_us(startTime), 4) over w as t0 from call_records
+      where callerNumber is not null and startTime is not null window w as (partition by callerNumber order by epoch_us(startTime), id)) where t - t0 < {int(minutes * 60_000_000)}::bigint)"""
+    step = "select acct, min(rn) as rn, arg_min(t0, rn) as t0, arg_min(d, rn) as d from c {} group by acct"
+    h = f"h1 as ({step.format('')}), h2 as ({step.format('join (select acct, rn as last from h1) x using (acct) where rn >= last + 5')}), h3 as ({step.format('join (select acct, rn as last from h2) x using (acct) where rn >= last + 5')})"
+    return f"(with {c}, {h} select * from h1 union all select * from h2 union all select * from h3)"
+
+
+def burst_alerts(minutes: float) -> str:
+    return _alert("BURST", "MEDIUM", "acct", "make_timestamp(t0)", "d", burst(minutes))
+
+
+PLACES = ", ".join(f"('{k}', {lat!r}::double, {lng!r}::double)" for k, (lat, lng) in GAZETTEER.items())
+KNOWN = "[" + ", ".join(f"'{k}'" for k in GAZETTEER) + "]"
+
+
+def place_name(c: str) -> str:
+    """The first token that the gazetteer knows, else the whole text if it does."""
+    return f"""coalesce(list_filter(string_split_regex({c}, '[\\s,;./\\\\—\\-]+'), lambda t: length(t) >= 2 and list_contains({KNOWN}, lower(t)))[1], case when list_contains({KNOWN}, lower(trim({c}))) then trim({c}) end)"""
+
+
+GAZ = f"g(k, lat, lng) as (values {PLACES})"
+EVENTS = "ev as (select ts, location from l union all select startTime, location from call_records), e as (select ts, name, g.lat, g.lng from (select ts, {} as name from ev where location is not null and location <> '') x join g on g.k = lower(x.name))".format(place_name("location"))
+# one byte for each letter: the distance counts bytes
+LETTERS = "абвгдежзийклмнопрстуфхцчшщъыьэюяөүіöüé"
+BYTES = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!#"[: len(LETTERS)]
+
+
+def screened(c: str) -> str:
+    return f"translate(lower(trim(regexp_replace({c}, '[\\x00-\\x1F]', '', 'g'))), 'ё', 'е')"
+
+
+ORACLE_SQL |= {
+    "pattern_burst": burst_alerts(7 * 24 * 60),
+    "top_alerts": f"""with {L}, a as ({RAPID} union all {TRIP} union all {SMURFP} union all {burst_alerts(30)})
+      select * from a order by case severity when 'CRITICAL' then 3 when 'HIGH' then 2 else 1 end desc, "at" desc, kind, subject, what limit 100""",
+    "travel_correlation": f"""with {L}, t as (select o.suspectId as s, l.id as txn, epoch_us(ts) as tu, {place_name('l.location')} as tp from l join bank_accounts o on o.id = l.acct where o.suspectId is not null),
+      c as (select suspectId as s, id as call, epoch_us(startTime) as cu, {place_name('location')} as cp from call_records where suspectId is not null and startTime is not null)
+      select t.s as suspect, txn, call, tp as txn_place, cp as call_place, floor((cu - tu) / 6000::double) / 10000::double as minutes from t join c on c.s = t.s and abs(cu - tu) <= 14400000000 where tp is not null and cp is not null and lower(tp) <> lower(cp)""",
+    "dwell_zones": f"""with {L}, {GAZ}, {EVENTS}, b as (select lat, lng, hour(ts) as h, count(*) as n, min(lower(name)) as name from e where ts is not null group by 1, 2, 3)
+      select lat, lng, sum(n)::bigint as hits, arg_max(h, (n, -h))::bigint as peak_hour, min(name) as name, {", ".join(f"coalesce(sum(n) filter (h = {k}), 0)::bigint as h{k:02d}" for k in range(24))} from b group by 1, 2 order by hits desc, lat, lng limit 10""",
+    "grid_density": f"""with {L}, {GAZ}, {EVENTS} select floor(lat / (5.0::double / 111))::bigint as gy, floor(lng / (5.0::double / 76))::bigint as gx, count(*) as n, round(avg(lat), 4) as lat, round(avg(lng), 4) as lng from e group by 1, 2""",
+    "suspect_locations": f"""with {GAZ}, p as (select id, coalesce({place_name('address')}, {place_name('city')}) as place from suspects) select id, place, lat, lng from p join g on g.k = lower(place)""",
+    "people": f"""with ec as ({ORACLE_SQL['entity_components']}), a as (select suspectId as id, count(*) as acc from bank_accounts where suspectId is not null group by 1),
+      s as (select s.*, ec.person, coalesce(acc, 0) as acc, coalesce(list_position(['UNKNOWN', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'], riskLevel), 1) as r, {phone8('primaryPhone')} as ph from suspects s join ec on ec.id = s.id left join a on a.id = s.id)
+      select person, count(*) as records, ['UNKNOWN', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][greatest(max(r), 1)] as risk, sum(acc)::bigint as accounts, count(distinct ph) as phones, count(distinct caseId) as cases, arg_min(nationalId, id) filter (nationalId is not null) as national_id from s group by person""",
+    "screening": f"""with p as (select distinct s, pc, n from (select s, pc, {screened('n')} as n from (select id as s, lower(country) as pc, unnest(list_concat([fullName], string_split_regex(coalesce(aliases, ''), '[;,|]'))) as n from suspects)) where length(n) >= 3),
+      e as (select distinct e, ec, m from (select e, ec, {screened('m')} as m from (select id as e, lower(country) as ec, unnest(list_concat([caption], list_concat(coalesce(names, []), coalesce(aliases, [])))) as m from sanctions_entries)) where length(m) >= 3),
+      h as (select s, e, pc, ec, case when n = m then 1.0 when len(list_filter(string_split_regex(n, '\\s+'), lambda t: not contains(m, t))) = 0 then 0.85 when contains(n, m) or contains(m, n) then 0.7
+        when levenshtein(translate(n, '{LETTERS}', '{BYTES}'), translate(m, '{LETTERS}', '{BYTES}')) <= 2 then 0.55 end::double as score from p, e)
+      select s as suspect, e as entry, round(least(1.0::double, max(score) + max(case when pc = ec then 0.05 else 0 end)::double), 2) as score from h where score is not null group by s, e""",
+    "audit_verify": f"""with recursive {L}, o as (select acct as chain, id, row_number() over (partition by acct order by id) as rn, concat_ws('|', {AT.format('ts')}, coalesce(channel, ''), coalesce(flagStatus, ''), coalesce(cp, ''), coalesce(description, '')) as p from l),
+      r(chain, rn, id, p, hash, prev) as (select chain, rn, id, p, upper(sha256('|' || p)), '' from o where rn = 1 union all select o.chain, o.rn, o.id, o.p, upper(sha256(r.hash || '|' || o.p)), r.hash from r join o on o.chain = r.chain and o.rn = r.rn + 1),
+      v as (select chain, id, hash <> upper(sha256(prev || '|' || p || case when chain % 10 = 0 then '!' else '' end)) as bad from r) select chain, count(*) as events, min(id) filter (bad) as first_bad from v group by chain""",
+    "fraud_workflow": f"""select a.acct, a.n, a.overall, a.risk as analysis_risk, a.verdict, r.final_score, r.action, r.risk, b.chi_square, b.passes, coalesce(k.bankName, 'Банк') || ' - ' || k.accountNumber as name
+      from ({ORACLE_SQL['account_analysis']}) a join ({ORACLE_SQL['rule_scores']}) r using (acct) left join ({ORACLE_SQL['benford_test']}) b using (acct) left join bank_accounts k on k.id = a.acct""",
+    "import_ledger": f"""with {L}, x as (select *, ref is not null and id > min(id) filter (ref is not null and not coalesce(contains(description, 'Эхний үлдэгдэл'), false)) over (partition by acct, ref) as again, coalesce(contains(description, 'Эхний үлдэгдэл'), false) as skip from l)
+      select acct, case when skip then 'SKIPPED' when again then 'DUPLICATE' else 'IMPORTED' end as status, case when type = 'credit' then 'credit' else 'debit' end as type, count(*) as n, round(sum(amt), 2) as total,
+        round(sum(1000 + case when type = 'credit' then amt else -amt end), 2) as balances from x group by all""",
+    "import_calls": """with c as (select regexp_replace(callerNumber, '[^0-9+]', '', 'g') as caller, regexp_replace(calledNumber, '[^0-9+]', '', 'g') as called, coalesce(durationSeconds, 0) as sec, epoch_us(date_trunc('second', startTime)) as us,
+        case when id % 5 = 0 then 2 else 1 end as times from call_records where startTime is not null)
+      select caller, 'Outgoing' as direction, sum(times)::bigint as n, sum(sec * times)::bigint as seconds, min(us) as first_us from c where caller <> '' and called <> '' group by caller""",
+    "import_access": """select min(event_id) as lineno, user_id as user, event_type as ip, epoch_us(cast(cast(ts as date) as timestamp)) as ts_us from events where ts is not null and user_id is not null group by user_id, event_type, cast(ts as date)""",
+}

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from moneytrail.config import MNT
 from moneytrail.functions import scalars as sc
 from moneytrail.operators import casework as cw
 from moneytrail.operators import imports as im
@@ -15,12 +17,14 @@ from moneytrail.operators import network as nw
 from moneytrail.operators import rules as rl
 from moneytrail.operators.normalise_times import p3_found
 from moneytrail.operators.parse_failures import p5_found, p5_rows
-from moneytrail.operators.schema_drift import p2_found, p2_unified
+from moneytrail.operators.schema_drift import p2_found, p2_unified, unified
 from moneytrail.plans.oracle import ORACLE_SQL  # noqa: F401
 from moneytrail.plans.session import table
 from moneytrail.sources.sinks import export_sheets
 from moneytrail.streaming.windows import daily_flows
 
+BURST_WIDE = replace(MNT, burst_minutes=7 * 24 * 60.0)  # no number calls five times within half an hour here
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_unified, p3_found, p5_found, p5_rows)}
 
@@ -56,7 +60,7 @@ for _f in (
 for _name, _f in rl.RULES.items():
     query(_name)(lambda t, f=_f: f(t.ledger))
 
-query("pattern_burst")(lambda t: rl.pattern_burst(t.call_records))
+query("pattern_burst")(lambda t: rl.pattern_burst(t.call_records, BURST_WIDE))
 query("top_alerts")(lambda t: rl.top_alerts(t.ledger, t.call_records))
 query("direct_transfers")(lambda t: nw.direct_transfers(t.ledger, t.bank_accounts))
 query("two_sided_ledger")(lambda t: nw.two_sided_ledger(t.ledger, t.bank_accounts))
@@ -160,27 +164,59 @@ def _scalars(t: Tables) -> DataFrame:
 
 @query("import_summary")
 def _import(t: Tables) -> DataFrame:
-    """Bank files: rows imported, skipped and duplicate, a field's text read with the importer's rules."""
-    bank = t.import_files.join(t.import_profiles.where("domain = 'BANK'").select("profileId"), "profileId", "left_semi")
-    from moneytrail.operators.schema_drift import unified
+    """Bank files, their profile stated or found: lines imported, skipped and duplicate, those that don't parse among the skipped."""
+    return im.summary(im.import_bank(_lines_of(t, "BANK")))
+
+
+@query("import_file_calls")
+def _import_file_calls(t: Tables) -> DataFrame:
+    return im.import_calls(_lines_of(t, "CDR"), as_of_us=1_767_225_600_000_000)
+
+
+@query("import_file_access")
+def _import_file_access(t: Tables) -> DataFrame:
+    return im.import_access(_lines_of(t, "ACCESS_LOG"))
+
+
+def _lines_of(t: Tables, domain: str) -> DataFrame:
+    kinds = F.broadcast(t.import_profiles.where(F.col("domain") == domain).select(F.col("profileId").alias("profile")))  # a configuration table
+    return unified(t.import_files, t.import_profiles, valid=False).join(kinds, "profile", "left_semi")
 
-    return im.summary(im.import_bank(unified(bank, t.import_profiles)))
+
+def _cells(**cells) -> F.Column:
+    """A row's map of field to text."""
+    return F.create_map(*[x for k, c in cells.items() for x in (F.lit(k), c.cast("string"))]).alias("data")
+
+
+@query("import_ledger")
+def _import_ledger(t: Tables) -> DataFrame:
+    """The ledger typed as statement lines (signed amounts with grouping) and imported again: status by account."""
+    signed = F.when(lg.is_credit(), F.col("amount")).otherwise(-F.col("amount"))
+    lines = t.ledger.select(
+        F.lit(0).cast("long").alias("fileid"), F.col("id").alias("lineno"),
+        _cells(date=lg.stamp("ts"), amount=F.format_number(signed, 2), account=F.col("acct"), description=F.col("description"), reference=F.col("ref"), balanceBefore=F.lit("1000")),
+    )
+    got = im.import_bank(lines).where("ts_us is not null")
+    return got.groupBy(F.col("account").cast("long").alias("acct"), "status", "type").agg(F.count("*").alias("n"), F.round(F.sum("amount"), 2).alias("total"), F.round(F.sum("balance"), 2).alias("balances"))
 
 
 @query("import_calls")
 def _import_calls(t: Tables) -> DataFrame:
-    from moneytrail.operators.schema_drift import unified
-
-    cdr = t.import_files.join(t.import_profiles.where("domain = 'CDR'").select("profileId"), "profileId", "left_semi")
-    return im.import_calls(unified(cdr, t.import_profiles), as_of_us=1_767_225_600_000_000)
+    """The calls typed as lines of a bill: wrapped numbers, minutes, every fifth with a frequency of two."""
+    c = t.call_records.where("startTime is not null")
+    lines = c.select(
+        F.lit(0).cast("long").alias("fileid"), F.col("id").alias("lineno"),
+        _cells(caller=F.concat(F.lit("line <"), "callerNumber", F.lit(">")), called=F.col("calledNumber"), datetime=lg.stamp("startTime"), duration=F.col("durationSeconds") / 60, frequency=F.when(F.col("id") % 5 == 0, "2 times")),
+    )
+    got = im.import_calls(lines, as_of_us=1_767_225_600_000_000)
+    return got.groupBy("caller", "direction").agg(F.count("*").alias("n"), F.sum("seconds").alias("seconds"), F.min("ts_us").alias("first_us"))
 
 
 @query("import_access")
 def _import_access(t: Tables) -> DataFrame:
-    from moneytrail.operators.schema_drift import unified
-
-    log = t.import_files.join(t.import_profiles.where("domain = 'ACCESS_LOG'").select("profileId"), "profileId", "left_semi")
-    return im.import_access(unified(log, t.import_profiles))
+    """The events typed as lines of an access log, to the day."""
+    lines = t.events.select(F.lit(0).cast("long").alias("fileid"), F.col("event_id").alias("lineno"), _cells(timestamp=F.date_format("ts", "yyyy-MM-dd"), accountId=F.col("user_id"), ip=F.col("event_type")))
+    return im.import_access(lines).select("lineno", F.col("user").cast("long").alias("user"), "ip", "ts_us")
 
 
 query("export_transactions")(

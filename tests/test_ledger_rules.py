@@ -114,9 +114,17 @@ def test_audit_verify_covers_the_whole_ledger(spark):
 
 def test_screening_ladder(spark):
     p = spark.createDataFrame([(1, "kim jong un", None, "kp"), (2, "Lukashenka", None, "xx"), (3, "nobody here", "", None)], "id long, fullName string, aliases string, country string")
-    e = spark.createDataFrame([("E1", ["Kim Jong Un"], None, "KP"), ("E2", ["Alexander Lukashenka"], [], "BY"), ("E3", None, None, None)], "id string, names array<string>, aliases array<string>, country string")
+    e = spark.createDataFrame([("E1", None, ["Kim Jong Un"], None, "KP"), ("E2", "x", ["Alexander Lukashenka"], [], "BY"), ("E3", None, None, None, None), ("E4", "KIM JONG UN", None, None, "KP")], "id string, caption string, names array<string>, aliases array<string>, country string")
     got = {(r["suspect"], r["entry"]): r["score"] for r in casework.screening(p, e).collect()}
-    assert got == {(1, "E1"): 1.0, (2, "E2"): 0.85}
+    assert got == {(1, "E1"): 1.0, (2, "E2"): 0.85, (1, "E4"): 1.0}
+
+
+def test_screening_tests_the_tokens_of_the_person_only(spark):
+    p = spark.createDataFrame([(1, "Bold Temur", None, None)], "id long, fullName string, aliases string, country string")
+    e = spark.createDataFrame([("two", "Bald Temor"), ("tokens", "xBold Temurx yy"), ("part", "Temur"), ("none", "Balt Temor x")], "id string, caption string")
+    e = e.selectExpr("id", "caption", "cast(null as array<string>) as names", "cast(null as array<string>) as aliases", "cast(null as string) as country")
+    got = {r["entry"]: r["score"] for r in casework.screening(p, e).collect()}
+    assert got == {"two": 0.55, "tokens": 0.85, "part": 0.7}
 
 
 def test_screening_against_all_pairs(spark):
@@ -137,7 +145,7 @@ def test_screening_against_all_pairs(spark):
             right.append("".join(v))
         right.append(word(2) + w + word(1))
     p = spark.createDataFrame([(k, w, None, None) for k, w in enumerate(left)], "id long, fullName string, aliases string, country string")
-    e = spark.createDataFrame([(str(k), [w], None, None) for k, w in enumerate(right)], "id string, names array<string>, aliases array<string>, country string")
+    e = spark.createDataFrame([(str(k), None, [w], None, None) for k, w in enumerate(right)], "id string, caption string, names array<string>, aliases array<string>, country string")
 
     def edits(a, b):
         row = list(range(len(b) + 1))
@@ -153,8 +161,10 @@ def test_screening_against_all_pairs(spark):
             return None
         if a == b:
             return 1.0
-        if all(t in b for t in a.split()) or all(t in a for t in b.split()):
+        if all(t in b for t in a.split()):
             return 0.85
+        if a in b or b in a:
+            return 0.7
         return 0.55 if edits(a, b) <= 2 else None
 
     want = {(i, str(j)): s for i, a in enumerate(left) for j, b in enumerate(right) if (s := score(a, b))}
