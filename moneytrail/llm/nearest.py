@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from moneytrail.plans.session import table, tasks_for
+from moneytrail.plans.session import save, table, tasks_for
 
 ROWS_PER_TASK = 150_000  # rows of both sides that one co-group holds, on average
-HOT = 1_000_000  # left rows of one entity and range from which they are cut into parts
-HOT_RANGES = 100_000  # most such ranges that are sent to the executors
+HOT = 1_000_000  # rows of one entity and range, of either side, from which it is cut further
+CUTS = 256  # time ranges into which such a range is cut
 WINDOW_S = 6 * 3600  # length of a time range; records near its ends are also put in the next one
 
 
@@ -60,10 +60,9 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance_s: int) -> Data
     neighbouring range where that lies within the tolerance, so each left row meets all its
     candidates in its own range.  Ranges are hashed over co-groups of bounded size: an entity
     with a third of all rows spreads over as many tasks as its time span has ranges.  Of right
-    rows at one instant only the least id is kept; a range with more than HOT left rows is cut
-    into parts, each with the range's right rows.  Rows
-    without entity or time match nothing; repeated rows count as rows; empty tables give no
-    pairs; further columns are ignored.
+    rows at one instant only the least id is kept; a range with more than HOT rows of either
+    side is cut further, see _cut.  Rows without entity or time match nothing; repeated rows
+    count as rows; empty tables give no pairs; further columns are ignored.
     """
     spark = left.sparkSession
     tolerance_us, window_us = tolerance_s * 1_000_000, WINDOW_S * 1_000_000
@@ -73,18 +72,15 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance_s: int) -> Data
     lt = left.where("entity is not null and us is not null").select("id", "entity", "us", F.expr(f"us div {window_us}").alias("span"))
     rt = right.where("entity is not null and us is not null").select("id", "entity", "us", F.explode(spans).alias("span"))
     rt = rt.groupBy("entity", "us", "span").agg(F.min("id").alias("id"))
-    parts = tasks_for(left.count() + right.count(), ROWS_PER_TASK, spark)
-    hot = lt.groupBy("entity", "span").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
-    hot = hot.select("entity", "span", F.ceil(F.col("n") / HOT).cast("int").alias("k")).limit(HOT_RANGES + 1).collect()
-    if len(hot) > HOT_RANGES:
-        raise ValueError("too many hot ranges: shorten WINDOW_S")
-    if hot:  # a few rows: at most one for each HOT rows of the input
-        cuts = F.broadcast(spark.createDataFrame([tuple(r) for r in hot], "entity long, span long, k int"))
-        lt = lt.join(cuts, ["entity", "span"], "left").withColumn("part", F.expr("cast(pmod(xxhash64(id), coalesce(k, 1)) as int)"))
-        rt = rt.join(cuts, ["entity", "span"], "left").withColumn("part", F.explode(F.expr("sequence(0, coalesce(k, 1) - 1)")))
+    one, none = F.lit(1), F.lit(0)
+    sizes = lt.select("entity", "span", one.alias("l"), none.alias("r")).unionByName(rt.select("entity", "span", none.alias("l"), one.alias("r")))
+    ranges = save(sizes.groupBy("entity", "span").agg(F.sum("l").alias("l"), F.sum("r").alias("r")))
+    rows, hot = ranges.agg(F.coalesce(F.sum(F.col("l") + F.col("r")), F.lit(0)), F.count_if(F.greatest("l", "r") > HOT)).first()
+    if hot:
+        lt, rt = _cut(lt, rt, ranges.where(F.greatest("l", "r") > HOT))
     else:
-        lt, rt = lt.withColumn("part", F.lit(0)), rt.withColumn("part", F.lit(0))
-    cell = F.pmod(F.xxhash64("entity", "span", "part"), F.lit(parts)).cast("int").alias("cell")
+        lt, rt = lt.withColumn("part", F.lit("")), rt.withColumn("part", F.lit(""))
+    cell = F.pmod(F.xxhash64("entity", "span", "part"), F.lit(tasks_for(rows, ROWS_PER_TASK, spark))).cast("int").alias("cell")
     lt, rt = (x.select("id", "entity", "us", "span", cell) for x in (lt, rt))
     return (
         lt.groupBy("cell")
@@ -93,6 +89,34 @@ def nearest_in_time(left: DataFrame, right: DataFrame, tolerance_s: int) -> Data
     )
 
 
+def _cut(left: DataFrame, right: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the part of their range (entity, span): '' but for the hot ones.
+
+    A hot range is cut at quantiles of its right times, so that a part holds few right rows however
+    they bunch; each part also gets the last right row before it and the first after it, which
+    is all that its left rows can need from elsewhere.  Many left rows in one part (they may
+    share an instant) are cut by their id, each with the part's right rows."""
+    key = ["entity", "span"]
+    cuts = right.join(hot.select(*key), key, "left_semi").groupBy(*key).agg(F.percentile_approx("us", [k / CUTS for k in range(1, CUTS)], 10_000).alias("cuts"))
+    cuts = save(hot.select(*key).join(cuts, key, "left"))
+    sub = F.when(F.col("hot"), F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("us"))), F.lit(0)))
+    placed = lambda side: side.join(cuts.withColumn("hot", F.lit(True)), key, "left").withColumn("sub", sub).drop("cuts", "hot")
+    lt, rt = placed(left), placed(right)
+    ends = rt.where("sub is not null").groupBy(*key, "sub").agg(F.min(F.struct("us", "id")).alias("lo"), F.max(F.struct("us", "id")).alias("hi"))
+    spine = cuts.select(*key, F.explode(F.sequence(F.lit(0), F.lit(CUTS - 1))).alias("sub")).join(ends, [*key, "sub"], "left")
+    w = Window.partitionBy(*key).orderBy("sub")  # CUTS rows
+    before = F.last("hi", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first("lo", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    spine = spine.select(*key, "sub", F.array(before, after).alias("ends"))
+    near = spine.select(*key, "sub", F.explode(F.array_compact("ends")).alias("e")).select("e.id", "entity", "e.us", "span", "sub")
+    rt = rt.unionByName(near)
+    many = lt.where("sub is not null").groupBy(*key, "sub").agg(F.ceil(F.count("*") / HOT).cast("int").alias("k"))
+    part = lambda n: F.coalesce(F.concat_ws("-", F.col("sub").cast("string"), n.cast("string")), F.lit(""))
+    lt = lt.join(many, [*key, "sub"], "left").withColumn("part", F.when(F.col("sub").isNull(), "").otherwise(part(F.pmod(F.xxhash64("id"), F.col("k")))))
+    rt = rt.join(many, [*key, "sub"], "left").withColumn("n", F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1)))
+    return lt, rt.withColumn("part", F.when(F.col("sub").isNull(), "").otherwise(part(F.col("n"))))
+
+
 def micros(c: str) -> F.Column:
     return F.unix_micros(F.col(c).cast("timestamp"))
 

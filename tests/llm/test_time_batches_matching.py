@@ -23,10 +23,11 @@ def brute(left, right, tol):
     return out
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_nearest_against_brute_force(spark, hot, monkeypatch):
+@pytest.mark.parametrize("hot, cuts", [(None, 0), (10, 256), (3, 4)])
+def test_nearest_against_brute_force(spark, hot, cuts, monkeypatch):
     if hot:
-        monkeypatch.setattr(nearest, "HOT", 10)
+        monkeypatch.setattr(nearest, "HOT", hot)
+        monkeypatch.setattr(nearest, "CUTS", cuts)
     rng = random.Random(2)
     us = lambda: rng.choice([None, rng.randrange(0, 86_400) * 1_000_000, rng.randrange(86_400 * 40) * 500_000]) if rng.random() < 0.9 else 1_000_000_000
     ent = lambda: rng.choice([1, 1, 1, 2, 3, None])
