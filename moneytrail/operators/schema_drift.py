@@ -17,8 +17,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from moneytrail.functions.scalars import clean_amount, read_datetime
 from moneytrail.functions.text import similarity, skeleton, undecorated
-from moneytrail.operators.parse_failures import Fields, classify, known_headers
+from moneytrail.operators.parse_failures import NUMBERS, Fields, classify, known_headers
 from moneytrail.plans.session import save, spread, table
 from moneytrail.sources import delimited
 
@@ -28,7 +29,7 @@ NAME = 0.7  # least similarity of related headers
 WORDS = 40  # frequent words of a column that are kept to compare its data
 
 
-@dataclass
+@dataclass(eq=False)
 class Node:
     """A column or group of columns: its header, the field it stands for, and its data in short."""
 
@@ -87,14 +88,48 @@ def size(n: Node) -> float:
     return 1.0 + sum(map(size, n.children))
 
 
-Step = tuple[str, str, str]  # kind, old header, new header
+MOVE = 0.6  # of a subtree that keeps its name under another parent
 
+Step = tuple[str, str, str]  # kind, old header, new header
 
-def tree_edit(a: Node, b: Node) -> tuple[float, list[Step]]:
-    """(cost, script) from the children of a to those of b, order ignored.
 
-    Nodes of one name are the same node; the rest are matched so that the sum of renames,
-    deletions and additions of whole subtrees is least."""
+def best_assignment(gain: dict[tuple[int, int], float], rows: int, columns: int) -> dict[int, int]:
+    """Row to column so that the sum of gains (0 where there is none) is greatest, by shortest augmenting
+    paths with potentials; pairs without gain stay unmatched."""
+    if not gain:
+        return {}
+    n = max(rows, columns)
+    cost = [[-gain.get((i, j), 0.0) for j in range(n)] for i in range(n)]
+    u, v, owner = [0.0] * (n + 1), [0.0] * (n + 1), [n] * (n + 1)  # owner[j]: row of column j; n: none
+    for i in range(n):
+        owner[n], j0 = i, n
+        least, used, back = [float("inf")] * (n + 1), [False] * (n + 1), [n] * (n + 1)
+        while True:
+            used[j0] = True
+            i0, delta, j1 = owner[j0], float("inf"), n
+            for j in range(n):
+                if not used[j]:
+                    c = cost[i0][j] - u[i0] - v[j]
+                    if c < least[j]:
+                        least[j], back[j] = c, j0
+                    if least[j] < delta - 1e-12:
+                        delta, j1 = least[j], j
+            for j in range(n + 1):
+                if used[j]:
+                    u[owner[j]] += delta
+                    v[j] -= delta
+                else:
+                    least[j] -= delta
+            j0 = j1
+            if owner[j0] == n:
+                break
+        while j0 != n:
+            owner[j0], j0 = owner[back[j0]], back[j0]
+    return {owner[j]: j for j in range(columns) if (owner[j], j) in gain}
+
+
+def _edit(a: Node, b: Node, at: str, to: str) -> tuple[float, list[tuple[str, str, str, Node | None, str]]]:
+    """(cost, script) from the children of a to those of b, each step with the subtree it takes or brings and its path."""
     cost, script = 0.0, []
     by_name = {c.name: c for c in b.children}
     same = [c for c in a.children if c.name in by_name]
@@ -102,50 +137,68 @@ def tree_edit(a: Node, b: Node) -> tuple[float, list[Step]]:
         d = by_name[c.name]
         if not c.children and not d.children and type_changed(c.kind, d.kind):
             cost += RETYPE
-            script.append(("retyped", c.name, c.name))
-        sub, steps = tree_edit(c, d)
+            script.append(("retyped", c.name, c.name, None, ""))
+        sub, steps = _edit(c, d, f"{at}{c.name}.", f"{to}{d.name}.")
         cost += sub
         script += steps
     names = {c.name for c in same}
     old = [c for c in a.children if c.name not in names]
     new = [c for c in b.children if c.name not in names]
-    # least assignment: edges from the best gain on, improved by exchanging pairs
     gain = {}
     for i, c in enumerate(old):
         for j, d in enumerate(new):
-            full = rename_cost(c, d) + (tree_edit(c, d)[0] if c.children or d.children else 0.0)
+            full = rename_cost(c, d) + (_edit(c, d, "", "")[0] if c.children or d.children else 0.0)
             if full < size(c) + size(d):
                 gain[i, j] = size(c) + size(d) - full
-    pairs: dict[int, int] = {}
-    for i, j in sorted(gain, key=lambda e: (-gain[e], e)):
-        if i not in pairs and j not in pairs.values():
-            pairs[i] = j
-    changed = True
-    while changed:
-        changed = False
-        for i in list(pairs):
-            for k in list(pairs):
-                if i < k:
-                    now = gain[i, pairs[i]] + gain[k, pairs[k]]
-                    if gain.get((i, pairs[k]), -9) + gain.get((k, pairs[i]), -9) > now + 1e-9:
-                        pairs[i], pairs[k] = pairs[k], pairs[i]
-                        changed = True
+    pairs = best_assignment(gain, len(old), len(new))
     for i, c in enumerate(old):
         if i in pairs:
             d = new[pairs[i]]
-            sub, steps = tree_edit(c, d)
+            sub, steps = _edit(c, d, f"{at}{c.name}.", f"{to}{d.name}.")
             cost += rename_cost(c, d) + sub
-            script += [("renamed", c.name, d.name), *steps]
+            script += [("renamed", c.name, d.name, None, ""), *steps]
         else:
             cost += DELETE * size(c)
-            script.append(("removed", c.name, ""))
+            script.append(("removed", c.name, "", c, at + c.name))
     for j, d in enumerate(new):
         if j not in pairs.values():
             cost += ADD * size(d)
-            script.append(("added", "", d.name))
+            script.append(("added", "", d.name, d, to + d.name))
     return cost, script
 
 
+def tree_edit(a: Node, b: Node) -> tuple[float, list[Step]]:
+    """(cost, script) from the children of a to those of b, order ignored.
+
+    Nodes of one name under one parent are the same node; the rest are matched so that the sum of
+    renames, deletions and additions of whole subtrees is least.  A subtree taken away under one
+    parent and added with its name under another is moved (headers with their parents', joined by dots), with the
+    changes inside it."""
+    cost, script = _edit(a, b, "", "")
+    gone = {(k, s[3].name): s for k, s in enumerate(script) if s[0] == "removed" and s[3]}
+    out: list[Step] = []
+    taken = set()
+    moves = {}
+    for k, s in enumerate(script):
+        if s[0] == "added":
+            source = next((g for g in gone if g[1] == s[3].name and g not in taken), None)
+            if source is not None:
+                taken.add(source)
+                moves[k] = source
+    for k, (kind, old, new, node, path) in enumerate(script):
+        if k in moves:
+            before, source = gone[moves[k]][3:]
+            sub, steps = _edit(before, node, f"{source}.", f"{path}.")
+            if not before.children and not node.children and type_changed(before.kind, node.kind):
+                sub += RETYPE
+                steps = [("retyped", new, new, None, ""), *steps]
+            cost += MOVE + sub - DELETE * size(before) - ADD * size(node)
+            out += [("moved", source, path), *(s[:3] for s in steps)]
+        elif not any(t[0] == k for t in taken):
+            out.append((kind, old, new))
+    return cost, out
+
+
 COLUMNS = "array<struct<name:string,field:string,kind:string,empty:double,shapes:array<string>,words:array<string>>>"
 
 
@@ -298,5 +351,15 @@ def unified(files: DataFrame, profiles: DataFrame, valid: bool = True) -> DataFr
     return rows.drop("profile") if valid else rows
 
 
+def typed(rows: DataFrame) -> DataFrame:
+    """rows with the values of known fields in one form whatever a file's: (at_us) of the date, (amounts) of
+    the numeric fields, as their column was retyped between text forms, epoch numbers and dates."""
+    g = lambda f: F.try_element_at("data", F.lit(f))
+    stated = F.coalesce(*(g(f) for f in ("date", "datetime", "timestamp")))
+    epoch = F.when(stated.rlike(r"^\d{10}$"), stated.try_cast("long") * 1_000_000).when(stated.rlike(r"^\d{13}$"), stated.try_cast("long") * 1000)
+    numbers = F.map_filter("data", lambda k, v: k.isin(*sorted(NUMBERS)) & v.isNotNull())
+    return rows.withColumn("at_us", F.coalesce(epoch, read_datetime(stated))).withColumn("amounts", F.transform_values(numbers, lambda k, v: clean_amount(v)))
+
+
 def p2_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unified(table(spark, sf_dir, "import_files"), table(spark, sf_dir, "import_profiles"))
+    return typed(unified(table(spark, sf_dir, "import_files"), table(spark, sf_dir, "import_profiles")))

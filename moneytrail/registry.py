@@ -15,7 +15,7 @@ from moneytrail.operators import imports as im
 from moneytrail.operators import ledger as lg
 from moneytrail.operators import network as nw
 from moneytrail.operators import rules as rl
-from moneytrail.operators.normalise_times import p3_found
+from moneytrail.operators.normalise_times import p3_estimated, p3_found
 from moneytrail.operators.parse_failures import p5_found, p5_rows
 from moneytrail.operators.schema_drift import p2_found, p2_unified, unified
 from moneytrail.plans.oracle import ORACLE_SQL  # noqa: F401
@@ -26,7 +26,7 @@ from moneytrail.streaming.windows import daily_flows
 BURST_WIDE = replace(MNT, burst_minutes=7 * 24 * 60.0)  # no number calls five times within half an hour here
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_unified, p3_found, p5_found, p5_rows)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_unified, p3_found, p3_estimated, p5_found, p5_rows)}
 
 
 class Tables:

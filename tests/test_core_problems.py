@@ -1,5 +1,7 @@
 """Schema drift, times and rows that fail to parse."""
 
+import datetime as dt
+import itertools
 import random
 
 import pytest
@@ -153,3 +155,50 @@ def test_nested_schemas():
     a = n("", children=[n("id", kind="whole"), n("who", children=[n("name", kind="text", words=["x"]), n("born", kind="date")])])
     b = n("", children=[n("who", children=[n("name", kind="text", words=["x"]), n("born", kind="datetime"), n("sex", kind="flag")]), n("id", kind="whole")])
     assert schema_drift.tree_edit(a, b)[1] == [("retyped", "born", "born"), ("added", "", "sex")]
+
+
+def test_a_subtree_under_another_parent_is_moved():
+    n = schema_drift.Node
+    a = n("", children=[n("who", children=[n("name", kind="text"), n("address", children=[n("city", kind="text"), n("no", kind="whole")])]), n("job", children=[n("title", kind="text")])])
+    b = n("", children=[n("who", children=[n("name", kind="text")]), n("job", children=[n("title", kind="text"), n("address", children=[n("city", kind="text"), n("no", kind="fraction")])])])
+    cost, script = schema_drift.tree_edit(a, b)
+    assert script == [("moved", "who.address", "job.address"), ("retyped", "no", "no")] and cost == pytest.approx(schema_drift.MOVE + schema_drift.RETYPE)
+
+
+def test_assignment_is_the_best_of_all():
+    rng = random.Random(1)
+    for _ in range(300):
+        r, c = rng.randint(1, 4), rng.randint(1, 4)
+        gain = {(i, j): rng.random() for i in range(r) for j in range(c) if rng.random() < 0.6}
+        got = schema_drift.best_assignment(gain, r, c)
+        best = max(sum(gain.get((i, p[i]), 0) for i in range(max(r, c))) for p in itertools.permutations(range(max(r, c))))
+        assert sum(gain[e] for e in got.items()) == pytest.approx(best)
+    # greedy would take a-c and leave b and d
+    assert schema_drift.best_assignment({(0, 0): 1.0, (0, 1): 0.9, (1, 0): 0.9}, 2, 2) == {0: 1, 1: 0}
+
+
+def test_typed_values_of_retyped_columns(spark):
+    rows = [(1, {"date": "2024-03-01 10:00:00", "amount": "1,250.50"}), (2, {"date": "1709287200", "amount": "₮ 7"}), (3, {"date": "1709287200000"}), (4, {"date": None, "amount": None}), (5, None)]
+    got = schema_drift.typed(spark.createDataFrame(rows, "id long, data map<string,string>")).orderBy("id").collect()
+    assert [r["at_us"] for r in got] == [1709287200000000] * 3 + [None] * 2
+    assert [r["amounts"] for r in got] == [{"amount": 1250.5}, {"amount": 7.0}, {}, {}, None]
+
+
+def test_estimated_zones_tell_a_quarter_of_an_hour_apart(spark):
+    """Two listed sources show how far aligned times lie apart; Kolkata is not Kathmandu; a listed null zone is estimated too."""
+    rng = random.Random(4)
+    systems = spark.createDataFrame([("utc", "UTC", "YMD"), ("ub", "Asia/Ulaanbaatar", "YMD"), ("in", None, None)], "code string, zone string, dateorder string")
+    at = lambda us: dt.datetime.fromtimestamp(us, dt.timezone.utc)
+    rows = []
+    for k in range(400):
+        t = 1_700_000_000 + rng.randrange(300 * 86400)
+        u = t + rng.randrange(-1800, 1801)
+        other = f"{at(u):%Y-%m-%d %H:%M:%S}"
+        if k % 2:
+            rows.append(("t", k, f"{at(t + 8 * 3600):%Y-%m-%d %H:%M:%S}", "ub", other, "utc"))
+        else:
+            rows.append(("t", k, f"{at(t + 19_800):%d/%m/%Y %H:%M:%S}", "in", other, "utc"))
+    times = spark.createDataFrame(rows, "fieldname string, recordid long, text string, source string, other_text string, other_source string")
+    z = normalise_times.estimate_zones(normalise_times._aligned(times, systems.withColumnRenamed("code", "source")), systems).collect()
+    assert [(r["source"], r["dateorder"]) for r in z] == [("in", "DMY")] and z[0]["zone"] in ("Asia/Calcutta", "Asia/Colombo", "Asia/Kolkata")
+    assert normalise_times.normalise_times(times, systems).count() == 400
