@@ -84,6 +84,7 @@ def normalise_times(times: DataFrame, systems: DataFrame) -> DataFrame:
     stated = known.where("zone is not null").unionByName(known.where("zone is null").join(guessed, "source", "left_anti"))
     zones = stated.unionByName(guessed)
     t = times.join(F.broadcast(zones), "source", "left").withColumn("p", read_time(F.col("text"), F.col("dateorder")))  # one row per source system
+    p = F.col("p")
     us = F.coalesce(p["instant_us"], to_instant(p["wall_us"], F.coalesce(p["zone"], "zone")))
     return t.select("fieldname", "recordid", to_second(us).alias("normalised")).where("normalised is not null")
 
