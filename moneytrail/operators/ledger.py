@@ -70,22 +70,31 @@ BENFORD = [30.1, 17.6, 12.5, 9.7, 7.9, 6.7, 5.8, 5.1, 4.6]
 
 
 def account_statistics(l: DataFrame) -> DataFrame:
-    """Per account: counts, sums, exact median, spread, peaks (first of ties).  Empty: no row."""
-    hours = l.groupBy("acct", F.hour("ts").alias("b")).agg(F.count("*").alias("n"))
-    days = l.groupBy("acct", (F.dayofweek("ts") - 1).alias("b")).agg(F.count("*").alias("n"))
-    peak = lambda d, name: d.groupBy("acct").agg(F.max_by("b", F.struct("n", -F.col("b"))).cast("long").alias(name))
+    """Per account: counts, sums, exact median, spread, peaks (first of ties).  Empty: no row.
+
+    The median comes from a running count over an account's distinct amounts, which is streamed in
+    order; no buffer holds an account."""
+    buckets = l.groupBy("acct", F.hour("ts").alias("h"), (F.dayofweek("ts") - 1).alias("d")).agg(F.count("*").alias("n"))  # at most 168 rows an account
+    peak = lambda c, name: buckets.groupBy("acct", F.col(c).alias("b")).agg(F.sum("n").alias("n")).groupBy("acct").agg(F.max_by("b", F.struct("n", -F.col("b"))).cast("long").alias(name))
     credit, debit = total(F.when(is_credit(), F.col("amount"))), total(F.when(~is_credit(), F.col("amount")))
     s = l.groupBy("acct").agg(
-        F.count("*").alias("n"), total().alias("total"), F.round(F.median("amt"), 4).alias("median"), F.max("amt").alias("max_amount"), F.min("amt").alias("min_amount"),
+        F.count("*").alias("n"), total().alias("total"), F.max("amt").alias("max_amount"), F.min("amt").alias("min_amount"),
         F.round(F.coalesce(F.stddev_samp("amt"), F.lit(0.0)), 2).alias("std_dev"), credit.alias("credits"), debit.alias("debits"),
         F.count_if(is_credit()).alias("credit_count"), F.count_if(~is_credit()).alias("debit_count"),
     )
+    upto = Window.partitionBy("acct").orderBy("amt").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    a = l.groupBy("acct", "amt").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(upto))
+    a = a.join(s.select("acct", "n"), "acct")
+    # the rows at places (n + 1) div 2 and n div 2 + 1, from 1
+    at = lambda place: F.min(F.when(F.col("upto") >= place, F.col("amt")))
+    m = a.groupBy("acct").agg(F.round((at(F.expr("(n + 1) div 2")) + at(F.expr("n div 2 + 1"))) / 2, 4).alias("median"))
+    s = s.join(m, "acct").select("acct", "n", "total", "median", *[c for c in s.columns if c not in ("acct", "n", "total")])
     return (
         s.withColumn("average", F.col("total") / F.col("n"))
         .withColumn("debit_credit_ratio", F.when(F.col("credits") > 0, F.round(F.col("debits") / F.col("credits"), 6)).otherwise(0.0))
         .withColumn("net_flow", F.round(F.col("credits") - F.col("debits"), 2))
-        .join(peak(hours, "peak_hour"), "acct")
-        .join(peak(days, "peak_day"), "acct")
+        .join(peak("h", "peak_hour"), "acct")
+        .join(peak("d", "peak_day"), "acct")
     )
 
 
