@@ -258,3 +258,46 @@ ORACLE_SQL |= {
       select caller, 'Outgoing' as direction, sum(times)::bigint as n, sum(sec * times)::bigint as seconds, min(us) as first_us from c where caller <> '' and called <> '' group by caller""",
     "import_access": """select min(event_id) as lineno, user_id as user, event_type as ip, epoch_us(cast(cast(ts as date) as timestamp)) as ts_us from events where ts is not null and user_id is not null group by user_id, event_type, cast(ts as date)""",
 }
+
+EVIDENCE = """own as (select s.caseId, a.id from bank_accounts a join suspects s on s.id = a.suspectId where s.caseId is not null),
+  evd as (select o.caseId, 'TXN' as sourceType, l.id as sourceId, l.id as exhibit from l join own o on o.id = l.acct where flagStatus = 'SUSPICIOUS' union all select caseId, 'ACCOUNT', id, id from own)"""
+THREE = "('CASE-1', 'CASE-7', 'CASE-48')"
+GONE = "g as (select id from suspects where caseId = 'CASE-7' and (nationalId is null or nationalId not in (select nationalId from suspects where caseId <> 'CASE-7' and nationalId is not null))), ga as (select id from bank_accounts where suspectId in (select id from g))"
+COMM = ORACLE_SQL["links_phone"]
+ORACLE_SQL |= {
+    "scan_lookup": "select id, accountNumber, bankName from bank_accounts where id = 1",
+    "scan_page_total": f"with {L} select id, acct, amt, (select count(*) from l where acct = 1) as total_count from l where acct = 1 order by ts desc, id desc limit 25 offset 25",
+    "locations_since": f"with {L} select location, count(*) as n from l where location is not null and location <> '' and ts >= timestamp '2022-06-01 00:00:00' group by 1",
+    "audit_search": f"""with {L} select * from (select id, {AT.format('ts')} as "at", coalesce(channel, '') as actor, coalesce(flagStatus, '') as action from l) where "at" >= '2021-01-01' and contains(lower(actor), 'a') and contains(lower(action), 'susp') order by id desc limit 500""",
+    "person_columns": """with w as (select id, list_filter(string_split_regex(trim(fullName), '\\s+'), lambda x: x <> '') as w, try_cast(case when regexp_matches(dateOfBirth, '^\\d{4}-\\d{2}-\\d{2}') then left(dateOfBirth, 10) end as date) as born from suspects)
+      select id, upper(case when len(w) >= 2 then left(w[1], 1) || left(w[-1], 1) else left(w[1], 1) end) as initials, floor(date_diff('day', born, date '2026-01-01') / 365.25::double)::bigint as age from w""",
+    "evidence_scope": f"""with {L}, {EVIDENCE}, x as (select * from evd where caseId in {THREE}), a as (select id from bank_accounts where suspectId in (select id from suspects where caseId in {THREE}) or id in (select sourceId from x where sourceType = 'ACCOUNT'))
+      select acct, count(*) as n from l where acct in (select id from a) or id in (select sourceId from x where sourceType = 'TXN') group by acct""",
+    "links_in_scope": f"with {L}, {FIN}, s as (select id from suspects where riskLevel in ('HIGH', 'CRITICAL', 'MEDIUM')) select a, b, n from fin where a in (select id from s) and b in (select id from s)",
+    "scoped_dashboard": f"""with {L}, s as (select * from suspects where caseId in {THREE}), a as (select * from bank_accounts where suspectId in (select id from s))
+      select count(*) as transactions, coalesce(sum(amount), 0)::double as volume, count(*) filter (flagStatus in ('SUSPICIOUS', 'REVIEW')) as flagged, {AT.format('min(ts)')} as first_at, {AT.format('max(ts)')} as last_at,
+      (select count(*) from s) as suspects, (select count(*) from s where riskLevel in ('HIGH', 'CRITICAL')) as high_risk, (select count(*) from s where status = 'UNDER_INVESTIGATION') as open,
+      (select count(*) from call_records where suspectId in (select id from s)) as calls, (select count(*) from a) as accounts from l where acct in (select id from a)""",
+    "evidence_first": f"with {L}, {EVIDENCE} select caseId, arg_min(sourceId, (exhibit, sourceId)) as sourceId, any_value(title) as title from evd join (select caseId, 'Case of ' || count(*) as title from suspects where caseId is not null group by 1) c using (caseId) group by caseId",
+    "calls_of_suspects": f"""with p as (select id as suspect, {phone8('primaryPhone')} as k from suspects), c as (select id, suspectId, {phone8('callerNumber')} as k1, {phone8('calledNumber')} as k2 from call_records)
+      select suspectId as suspect, id as call from c where suspectId in (select id from suspects) union select suspect, id from c join p on p.k = k1 union select suspect, id from c join p on p.k = k2""",
+    "qualified_transfers": f"""with {L}, o as (select a.id, trim(a.accountNumber) as no from bank_accounts a join suspects s on s.id = a.suspectId where s.status = 'UNDER_INVESTIGATION')
+      select id, acct, amt from l where amount >= 1000000 and trim(cp) <> '' and (acct in (select id from o) or trim(cp) in (select no from o where no is not null))""",
+    "flow_ranking": f"with {L}, {KEYED}, r as (select key, {MONEY} from k where key is not null group by key) select * from (select key, 'IN' as flow, credit as value from r union all select key, 'OUT', debit from r) where value > 0 order by value desc, key, flow limit 15",
+    "verdict_period": f"with {L} select {AT.format('min(ts)')} as first_at, {AT.format('max(ts)')} as last_at from l",
+    "owner_ordered": f"""with st as ({ORACLE_SQL['record_stats']}), x as (select acct, owner, n, coalesce('o:' || owner, 'a:' || acct) as k from st) select acct, owner, n, busiest from (select *, max(n) over (partition by k) as busiest from x) order by busiest desc, k, n desc, acct limit 200""",
+    "relations_ordered": f"with {L}, {KEYED}, r as (select key, {MONEY} from k where key is not null group by key) select key, n from r order by n desc, credit + debit desc, key limit 60",
+    "transfers_ordered": f"select src, dst, sum(n)::bigint as n, round(sum(total), 2) as total from ({ORACLE_SQL['direct_transfers']}) group by 1, 2 order by total desc, src, dst limit 60",
+    "people_ordered": f"select person, cases, records from ({ORACLE_SQL['people']}) order by cases desc, records desc, person limit 100",
+    "screening_ordered": f"select * from ({ORACLE_SQL['screening']}) order by score desc, suspect, entry limit 50",
+    "links_replaced": f"with {L}, {FIN}, s as ({ORACLE_SQL['links_shared_address']}) select kind, count(*) as n, sum(a)::bigint as a, sum(b)::bigint as b from (select 'MANUAL' as kind, a, b from s union all select 'FINANCIAL', a, b from fin) group by kind",
+    "evidence_tagged": f"with {L}, {EVIDENCE} select caseId, count(*) as n, max(exhibit) filter (sourceType = 'ACCOUNT') + count(*) filter (sourceType = 'TXN') as last from evd group by caseId",
+    "delete_case": f"""with {L}, {GONE} select 'suspects' as name, count(*) as n from suspects where id not in (select id from g) union all select 'accounts', count(*) from bank_accounts where id not in (select id from ga)
+      union all select 'transactions', count(*) from l where acct not in (select id from ga) union all select 'calls', count(*) from call_records where suspectId is null or suspectId not in (select id from g)""",
+    "flow_nodes": f"""with f as (select acct, cp, row_number() over (order by value desc, acct, cp) as rn from ({ORACLE_SQL['network_flow']})), nd as (select 'a:' || acct as node, rn * 2 as "at", acct from f union all select 'c:' || cp, rn * 2 + 1, null from f),
+      gr as (select node, min("at") as "at", max(acct) as acct from nd group by node) select node, row_number() over (order by "at") - 1 as index, case when riskLevel in ('CRITICAL', 'HIGH') then 'red' when riskLevel = 'MEDIUM' then 'orange' when riskLevel = 'LOW' then 'green' else 'grey' end as colour
+      from gr left join bank_accounts b on b.id = gr.acct left join suspects s on s.id = b.suspectId""",
+    "drill_down_rows": f"with {L} select a.id as target, b.id as related, floor((epoch_us(b.ts) - epoch_us(a.ts)) / 6000::double) / 10000::double as minutes from l a join l b on a.acct = b.acct and a.id <> b.id and abs(epoch_us(a.ts) - epoch_us(b.ts)) <= 600000000 where a.flagStatus = 'SUSPICIOUS'",
+    "strongest_links": f"""with {L}, {FIN}, ph as ({COMM}), u as (select 'FINANCIAL' as kind, a, b, n, strength from fin union all select 'COMMUNICATION', a, b, n, strength from ph), two as (select a as row, b as col, kind, n, strength from u union all select b, a, kind, n, strength from u)
+      select row, col, sum(n)::bigint as events, coalesce(sum(n) filter (kind = 'COMMUNICATION'), 0)::bigint as communications, arg_min(kind, (-strength, kind)) as strongest from two group by 1, 2""",
+}

@@ -14,6 +14,7 @@ from moneytrail.operators import casework as cw
 from moneytrail.operators import imports as im
 from moneytrail.operators import ledger as lg
 from moneytrail.operators import network as nw
+from moneytrail.operators import reports as rp
 from moneytrail.operators import rules as rl
 from moneytrail.operators.normalise_times import p3_estimated, p3_found
 from moneytrail.operators.parse_failures import p5_found, p5_rows
@@ -223,3 +224,52 @@ query("export_transactions")(
     lambda t: export_sheets(t.ledger, t.suspects, t.bank_accounts, t.call_records, t.suspects.limit(0))["Transactions"].groupBy("account", "owner").agg(F.count("*").alias("n"), lg.total().alias("total"))
 )
 query("stream_daily_flows")(lambda t: daily_flows(t.ledger).select("acct", F.date_format("day", "yyyy-MM-dd").alias("day"), F.coalesce("inflow", F.lit(0.0)).alias("inflow"), F.coalesce("outflow", F.lit(0.0)).alias("outflow"), "n", "mule"))
+
+CASES = ["CASE-1", "CASE-7", "CASE-48"]
+
+
+def _evidence(t: Tables) -> DataFrame:
+    """Entries from what the tables hold: suspicious transactions of owned accounts, and accounts, under their owners' cases."""
+    own = t.bank_accounts.join(t.suspects.where("caseId is not null").select(F.col("id").alias("suspectId"), "caseId"), "suspectId").select("caseId", "id")
+    txn = t.ledger.where("flagStatus = 'SUSPICIOUS'").join(own.select("caseId", F.col("id").alias("acct")), "acct").select("caseId", F.lit("TXN").alias("sourceType"), F.col("id").alias("sourceId"))
+    acc = own.select("caseId", F.lit("ACCOUNT").alias("sourceType"), F.col("id").alias("sourceId"))
+    return txn.unionByName(acc).withColumn("exhibit", F.col("sourceId"))
+
+
+query("scan_lookup")(lambda t: rp.lookup(t.bank_accounts, 1).select("id", "accountNumber", "bankName"))
+query("scan_page_total")(lambda t: rp.paged_with_total(t.ledger.where("acct = 1"), 2, 25).select("id", "acct", "amt", "total_count"))
+query("locations_since")(lambda t: rp.locations_since(t.ledger, "2022-06-01 00:00:00").groupBy("location").agg(F.count("*").alias("n")))
+query("audit_search")(lambda t: rp.audit_search(t.ledger.select("id", lg.stamp("ts").alias("at"), F.coalesce("channel", F.lit("")).alias("actor"), F.coalesce("flagStatus", F.lit("")).alias("action")), start="2021-01-01", actor="a", action="susp", take=500))
+query("person_columns")(lambda t: rp.person_columns(t.suspects, "2026-01-01", F.when(F.col("dateOfBirth").rlike(r"^\d{4}-\d{2}-\d{2}"), F.left("dateOfBirth", F.lit(10)).try_cast("date"))))
+query("evidence_scope")(lambda t: rp.evidence_scope(t.ledger, t.suspects, t.bank_accounts, _evidence(t), CASES).groupBy("acct").agg(F.count("*").alias("n")))
+query("links_in_scope")(lambda t: rp.links_in_scope(nw.financial_links(t.ledger, t.bank_accounts, t.suspects), t.suspects.where("riskLevel in ('HIGH', 'CRITICAL', 'MEDIUM')").select("id")).select("a", "b", "n"))
+query("scoped_dashboard")(lambda t: rp.scoped_dashboard(t.ledger, t.suspects, t.call_records, t.bank_accounts, CASES))
+query("evidence_first")(lambda t: rp.first_evidence_per_case(_evidence(t), t.suspects.where("caseId is not null").groupBy("caseId").agg(F.concat(F.lit("Case of "), F.count("*").cast("string")).alias("title"))))
+query("calls_of_suspects")(lambda t: rp.calls_of(t.suspects, t.call_records))
+query("qualified_transfers")(lambda t: rp.qualified_transfers(t.ledger, t.bank_accounts, t.suspects, 1_000_000).select("id", "acct", "amt"))
+query("flow_ranking")(lambda t: rp.flow_ranking(nw.relations(t.ledger)))
+query("verdict_period")(lambda t: rp.period(t.ledger))
+query("owner_ordered")(lambda t: rp.owner_ordered(cw.record_stats(t.ledger, t.bank_accounts, t.suspects).select("acct", "owner", "n"), 200))
+query("relations_ordered")(lambda t: nw.relations(t.ledger).orderBy(F.desc("n"), F.desc(F.col("credit") + F.col("debit")), "key").limit(60).select("key", "n"))
+query("transfers_ordered")(lambda t: nw.direct_transfers(t.ledger, t.bank_accounts).groupBy("src", "dst").agg(F.sum("n").alias("n"), F.round(F.sum("total"), 2).alias("total")).orderBy(F.desc("total"), "src", "dst").limit(60))
+query("people_ordered")(lambda t: nw.people(t.suspects, t.bank_accounts).orderBy(F.desc("cases"), F.desc("records"), "person").limit(100).select("person", "cases", "records"))
+query("screening_ordered")(lambda t: cw.screening(t.suspects, t.sanctions_entries).orderBy(F.desc("score"), "suspect", "entry").limit(50))
+query("links_replaced")(lambda t: rp.replaced_links(_stored_links(t).unionByName(_stored_links(t).withColumn("kind", F.lit("MANUAL"))), _new_links(t), ["FINANCIAL"]).groupBy("kind").agg(F.count("*").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b")))
+query("evidence_tagged")(lambda t: rp.tagged(_evidence(t).where("sourceType = 'ACCOUNT'"), _evidence(t)).groupBy("caseId").agg(F.count("*").alias("n"), F.max("exhibit").alias("last")))
+query("delete_case")(lambda t: _sizes(rp.delete_case(t.ledger, t.suspects, t.bank_accounts, t.call_records, "CASE-7")))
+query("flow_nodes")(lambda t: rp.flow_nodes(nw.network_flow(t.ledger), t.bank_accounts, t.suspects))
+query("drill_down_rows")(lambda t: rp.drill_down_rows(t.ledger))
+query("strongest_links")(lambda t: rp.strongest_links(rp.typed_links({"FINANCIAL": nw.financial_links(t.ledger, t.bank_accounts, t.suspects), "COMMUNICATION": nw.phone_links(t.call_records, t.suspects)})))
+
+
+def _stored_links(t: Tables) -> DataFrame:
+    return nw.shared_key_links(t.suspects, F.col("address")).select(F.lit("FINANCIAL").alias("kind"), "a", "b")
+
+
+def _new_links(t: Tables) -> DataFrame:
+    return nw.financial_links(t.ledger, t.bank_accounts, t.suspects).select(F.lit("FINANCIAL").alias("kind"), "a", "b")
+
+
+def _sizes(tables: dict[str, DataFrame]) -> DataFrame:
+    parts = [d.agg(F.count("*").alias("n")).select(F.lit(k).alias("name"), "n") for k, d in tables.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
