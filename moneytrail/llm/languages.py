@@ -1,11 +1,10 @@
 """Problem 10: language of each segment of each document, with confidence.
 
-Multinomial naive Bayes over hashed character n-grams.  It is trained here, on the corpus
-itself: first on the delivered labels (missing and wrong ones are noise), then on its own
-answers of the round before.  A language written in two scripts has a distribution for each,
+Multinomial naive Bayes over hashed character n-grams.  It is trained here, on SAMPLE
+documents of the corpus itself (by a fixed hash of their ids): first on the delivered labels
+(missing and wrong ones are noise), then on its own answers of the round before.  A language written in two scripts has a distribution for each,
 and a segment is compared with those of its own script, so that a rare script of a language
-isn't outweighed by its usual one.  Counts are taken over all segments, added up per hash
-bucket, and only the matrix of scripts x languages x BUCKETS (a fixed size) is broadcast.
+isn't outweighed by its usual one.  Counts are added up per hash bucket, and only the matrix of scripts x languages x BUCKETS (a fixed size) is broadcast.
 """
 
 from __future__ import annotations
@@ -20,12 +19,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from moneytrail.llm.names import unmix
-from moneytrail.plans.session import spread, table
+from moneytrail.plans.session import save, spread, table
 
 LANGS = ["de", "en", "kk", "mn", "ru", "zh"]
 SCRIPTS = 3  # Latin, Cyrillic, Chinese
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 16
+SAMPLE = 20_000  # documents that the classifier is fitted on, at most; all are then scored
 ROUNDS = 2  # trainings on the model's own answers
 SMOOTHING = 0.05
 SHRINKAGE = 0.3  # of all grams of a script, as pseudo-counts of each of its languages
@@ -139,10 +139,13 @@ def log_weights(counts: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame) -> np.ndarray:
-    """The matrix of log probabilities, from all segments of docs (text, lang)."""
+    """The matrix of log probabilities, from all segments of SAMPLE documents (doc_id, text, lang)."""
     spark = docs.sparkSession
     weights = None
-    texts = spread(docs.select("text", "lang").where("text is not null"))
+    full = docs.where("text is not null")
+    ids = full.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    sample = save(full.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id", "left_semi"))  # at most SAMPLE ids
+    texts = spread(sample.select("text", "lang"))
     for _ in range(1 + ROUNDS):
         shared = spark.sparkContext.broadcast(None if weights is None else weights.astype(np.float32))
 
