@@ -88,7 +88,8 @@ def walk_bands(symbols: np.ndarray, starts: np.ndarray, window: int, seed: int =
 
     CGK: at step j the walk writes the symbol it stands on and moves on if a random bit of
     (j, symbol) is set; beyond the window's end it writes nothing.  Each band hashes the
-    symbols written at SAMPLED random steps.
+    symbols written at SAMPLED random steps.  A walk mixes each symbol once: its bit j moves
+    step j, the whole is what is written.
     """
     rng = np.random.default_rng(seed)
     steps = 2 * window
@@ -96,25 +97,37 @@ def walk_bands(symbols: np.ndarray, starts: np.ndarray, window: int, seed: int =
     end = starts + window
     last = len(padded) - 1
     out = []
+    one = np.uint64(1)
     with np.errstate(over="ignore"):
         for _ in range(MAPS):
-            odd = rng.integers(0, 2**63, steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            odd = rng.integers(0, 2**63, 2, dtype=np.uint64) * np.uint64(2) + one
             picks = [set(rng.choice(steps, SAMPLED, replace=False).tolist()) for _ in range(BANDS)]
             salts = rng.integers(1, 2**62, BANDS, dtype=np.uint64)
+            mixed = padded * odd[0]
+            mixed ^= mixed >> np.uint64(31)
+            mixed *= odd[1]
+            mixed ^= mixed >> np.uint64(29)
             acc = [np.full(len(starts), s, np.uint64) for s in salts]
-            pos = starts.copy()
+            pos = starts.astype(np.int64)
             for j in range(steps):
-                inside = pos < end
-                at = np.where(inside, pos, last)
-                moves = ((padded * odd[j]) >> np.uint64(63)).astype(np.int64)
+                # a walk takes at most one step at a time, so it can leave its window only after that many
+                v = mixed[pos if j < window else np.where(pos < end, pos, last)]
                 for k in range(BANDS):
                     if j in picks[k]:
-                        acc[k] = (acc[k] ^ padded[at]) * np.uint64(0x100000001B3) + np.uint64(j)
-                pos = pos + np.where(inside, moves[at], 0)
+                        acc[k] ^= v
+                        acc[k] *= np.uint64(0x100000001B3)
+                        acc[k] += np.uint64(j)
+                if j + 1 < steps:
+                    v >>= np.uint64(j)
+                    v &= one
+                    pos += v.view(np.int64)
             out += acc
     return out
 
 
+BLOCK = 6  # symbols: a run of L has at most e = L // ERRORS_PER errors, so one of its e + 1 blocks has (L - e) / (e + 1), which is above 5 for all L from WORDS on
+
+
 def may_hold(doc: np.ndarray, item_sorted: np.ndarray, least: int, errors_per: int = ERRORS_PER) -> bool:
     """False only if no run of `least` item symbols fits into doc.
 
@@ -143,6 +156,8 @@ def longest_run(doc: np.ndarray, item: np.ndarray, gap: int, errors_per: int = E
     key = np.sort((j - i + len(doc)) * wide + i)
     cut = np.flatnonzero(np.concatenate([[True], np.diff(key) != 1, [True]]))
     length = np.diff(cut)
+    if length.max() < BLOCK:
+        return int(length.max())
     first = key[cut[:-1]]
     keep_ = length >= 2
     start = first[keep_] % wide
