@@ -230,3 +230,27 @@ def test_planted_errors_meet(length):
 def test_nearest_frame_function_on_empty_sides():
     e = pd.DataFrame({"id": [], "entity": [], "us": [], "span": []})
     assert nearest._nearest(e, e, 5).empty
+
+
+def test_crowds_and_few_with_one_first_transaction_give_the_same(spark, tmp_path, monkeypatch):
+    """Cells are probed for crowds only, and all that lies within one error is linked either way."""
+    rng = random.Random(12)
+    digits = ["".join(rng.choice("0123456789") for _ in range(8)).lstrip("0") for _ in range(30)]
+    digits += [d[:k] + rng.choice("0123456789") + d[k + 1 :] for d in digits for k in (0, 3, 6)] + [d[:5] + d[6] + d[5] + d[7:] for d in digits if len(d) == 8]
+    rows = [(k, d, k % 2, "N|bat", "bank") for k, d in enumerate(dict.fromkeys(digits))]
+    v = spark.createDataFrame(rows, "id long, digits string, since long, owner string, bank string")
+    def near(p, q):
+        wrong = [i for i in range(8) if p[i] != q[i]]
+        return len(wrong) == 1 or (len(wrong) == 2 and wrong[1] == wrong[0] + 1 and p[wrong[0]] == q[wrong[1]] and p[wrong[1]] == q[wrong[0]])
+
+    want = {(a[0], b[0]) for a in rows for b in rows if a[2] == b[2] and near(a[1].zfill(8), b[1].zfill(8))}
+    probed = []
+    plain = batches._probes
+    monkeypatch.setattr(batches, "_probes", lambda v, lead: (probed.append(1), plain(v, lead))[1])
+    for crowd in (100, 1):
+        monkeypatch.setattr(batches, "CROWD", crowd)
+        index = batches.CellIndex.create(spark, str(tmp_path / f"i{crowd}"), 5000)
+        right = v.select(F.col("id").alias("match"), *batches.VECTOR)
+        assert {tuple(r) for r in index.links(v, right).collect()} == want
+        assert bool(probed) == (crowd == 1)
+    assert len(want) > 50
