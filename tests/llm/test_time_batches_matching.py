@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from moneytrail.llm import batches, matching, names, nearest
+from moneytrail.operators import components
 
 
 def brute(left, right, tol):
@@ -254,3 +255,22 @@ def test_crowds_and_few_with_one_first_transaction_give_the_same(spark, tmp_path
         assert {tuple(r) for r in index.links(v, right).collect()} == want
         assert bool(probed) == (crowd == 1)
     assert len(want) > 50
+
+
+def test_small_batches_are_compared_in_one_task_and_give_the_same(spark, tmp_path, monkeypatch):
+    """Few jobs a batch, each of which would leave its threads, plans and broadcasts in the driver for a while."""
+    rng = random.Random(9)
+    parts = [_batch(spark, rng, 60, 1 + 1000 * k) for k in range(3)]
+    found, jobs = [], []
+    for few in (batches.FEW_BYTES, -1):
+        monkeypatch.setattr(batches, "FEW_BYTES", few)
+        monkeypatch.setattr(components, "FEW_BYTES", few)
+        index = batches.CellIndex.create(spark, str(tmp_path / f"i{few}"), 60)
+        for k, p in enumerate(parts):
+            spark.sparkContext.setJobGroup(f"{few} {k}", "")
+            index.add(p)
+            jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"{few} {k}")))
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        found.append({tuple(r) for r in index.repeats().collect()})
+    assert len(found[0]) > 20 and found[0] == found[1]
+    assert max(jobs[1:3]) <= 14 < min(jobs[4:])  # the first batch also makes an empty table

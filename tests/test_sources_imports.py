@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from moneytrail.functions import scalars
-from moneytrail.operators import imports, model
+from moneytrail.operators import components, imports, model
 from moneytrail.operators.components import connected_components
 from moneytrail.sources import profiles, readers, sinks
 from moneytrail.streaming.windows import daily_flows
@@ -130,3 +130,13 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     key = lambda r: (r["acct"], r["day"], r["inflow"] or 0, r["outflow"] or 0, r["n"], r["mule"])
     assert sorted(map(key, spark.table("flows").collect())) == sorted(map(key, daily_flows(df).collect()))
+
+
+@pytest.mark.parametrize("few", [-1, 1 << 20])
+def test_components_by_rounds_and_in_one_task_are_the_same(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW_BYTES", few)
+    pairs = [(k + 1, k) for k in range(40)] + [(100, 90), (95, 100), (7, 7), (None, 3), (-5, 200), (200, 201)]
+    e = spark.createDataFrame(pairs + pairs[:5], "a long, b long")
+    got = {r["node"]: r["component"] for r in components.connected_components(e).collect()}
+    assert got == {k: 0 for k in range(41)} | {90: 90, 95: 90, 100: 90, -5: -5, 200: -5, 201: -5}
+    assert components.connected_components(e.limit(0)).count() == 0
