@@ -274,3 +274,11 @@ def test_small_batches_are_compared_in_one_task_and_give_the_same(spark, tmp_pat
         found.append({tuple(r) for r in index.repeats().collect()})
     assert len(found[0]) > 20 and found[0] == found[1]
     assert max(jobs[1:3]) <= 14 < min(jobs[4:])  # the first batch also makes an empty table
+
+
+def test_candidates_are_written_before_they_are_compared(spark):
+    """Else the driver holds the shuffles of all steps from the names on until the features are done."""
+    side = spark.createDataFrame([("1", ["F|arigon|zodmogcag"], ["1966-09-09"])], "id string, names array<string>, births array<string>")
+    found = matching.candidates(side, side)
+    assert [tuple(r) for r in found.collect()] == [("1", "1")]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
